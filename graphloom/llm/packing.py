@@ -8,13 +8,14 @@ padding.  Each task packs its own rows: there is no shuffle, memory holds one ba
 that runs again on the same split gives the same sequences.  Sequence ids are (partition << 33) + number.
 
 Tokens of a text are those of its words between ASCII spaces, one after the other: normalisation, lower-casing and
-splitting of this tokenizer never look across white space, so words are encoded once and kept in a table that is
-emptied when it is full.  Null and empty texts are the end id alone.  Repeated rows are packed each.
+splitting of this tokenizer never look across white space, so words are encoded once and kept in a bounded table.  Null and empty texts are the end id alone.  Repeated rows are packed each.
 Input columns other than the id and the text are ignored; a null id stays null.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
-WINDOW, END_ID, KEPT_WORDS = 2048, 1, 400_000
+WINDOW, END_ID, KEPT_WORDS = 2048, 1, 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,27 +37,92 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+_WORD_END = "</w>"
+
+
+class Recent:
+    """A bounded table: two generations, of which the older is dropped when the younger is full."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def settle(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def add(self, key) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self.young[key] = got
+        return got
+
+
 class WordEncoder:
-    """Texts (UTF-8) to little-endian unsigned 32-bit ids, by way of a bounded table of words."""
+    """Texts (UTF-8) to little-endian unsigned 32-bit ids, by way of bounded tables of words and of the pieces they split into.
+
+    A word of Latin-1 characters is split here and its pieces are merged by ``tiktoken`` from the same vocabulary and merges
+    (a byte that UTF-8 lacks stands for the end of a word); all others are left to the tokenizer itself.  A vocabulary
+    without word ends, or with a normaliser or splitter that differs, is left to the tokenizer altogether.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.words = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.merge = Tokenizer.from_file(path), _merger(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.pieces = Recent(self._word, kept), Recent(self._piece, kept)
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.merge(piece.encode() + b"\xff"), "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.merge and _LATIN.fullmatch(text) and not any(x in text for x in self.special):
+            young, add = self.pieces.young, self.pieces.add
+            return b"".join([young.get(p) or add(p) for p in _PIECES.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.words.settle()
+        self.pieces.settle()
         split = [t.split() for t in texts]  # bytes split at the six ASCII spaces only
-        if len(self.words) > self.kept:
-            self.words.clear()
-        new = list({w for ws in split for w in ws} - self.words.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.words.__getitem__
+        young, add = self.words.young, self.words.add
+        for w in {w for ws in split for w in ws}:
+            if w not in young:
+                add(w)
+        get = young.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+def _merger(path: str):
+    """A function from a piece's bytes, 0xFF last, to its ids; None if the file isn't of the kind that ``WordEncoder`` splits itself."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    steps = [x["type"] for x in (whole.get("normalizer") or {}).get("normalizers", [])]
+    split = ((whole.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    if steps != ["NFC", "Replace", "Lowercase"] or split != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" or whole["model"].get("end_of_word_suffix") != _WORD_END:
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte_of[c] for c in t.removesuffix(_WORD_END)) + b"\xff" * t.endswith(_WORD_END): i for t, i in whole["model"]["vocab"].items()}
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The process's encoder for a file; it outlives the tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class SumOfSquares:
     """Online packing.  ``add`` gives (window, offset) for a piece shorter than the window; open windows keep their pieces."""
 
@@ -134,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         # the ids' bytes stay only while a piece of the document is open
         out: list[tuple] = []
@@ -143,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for at in range(0, len(texts), 256):
-                    for key, ids in zip(keys[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+                    for key, ids in zip(keys[at : at + 256], words.encode(texts[at : at + 256]), strict=True):
                         ids += end
                         yield (key, ids, len(ids) // 4), len(ids) // 4
 
