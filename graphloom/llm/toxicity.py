@@ -1,7 +1,7 @@
 """Toxicity: a lexicon learned from labels, misspellings by Levenshtein automata over its trie, and context windows.
 
 *Lexicon.*  From labelled training rows: words, and stems of three to eight letters, that far more toxic than clean rows
-hold (smoothed log odds of their row frequencies).  *Automaton.*  The lexicon's words form a trie; a state is the set of
+hold (smoothed log odds of their row frequencies).  *Automaton.*  The lexicon's common words form a trie; a state is the set of
 (trie node, edits so far), the product of the trie with the Levenshtein automata of all its words, and its transitions are
 made when they are first needed and kept.  A word that can reach no term dies after a few letters.  Words of 4 to 7
 letters may have one edit, longer ones two.  *Context.*  Each hit is looked at in a window of ``CONTEXT`` words on either
@@ -31,6 +31,7 @@ from graphloom.llm.common import table
 
 TRAIN_ROWS, MOST_TERMS, LEAST_TOXIC, LEAST_ODDS, CONTEXT, PREDICT = 8_000, 600, 4, 2.5, 8, 0.7
 STEMS = range(3, 9)
+COMMON = 1 / 12
 _OPEN, _CLOSE, _EVEN = "“«‘„‹", "”»’“›", "\"'"
 _STRIP = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + _OPEN + _CLOSE + "…–—¿¡"
 FEATURES = ("abuse", "best", "misspelled", "quoted", "share", "terms")
@@ -117,16 +118,18 @@ class Automaton:
 
 
 class Scorer:
-    """Features of texts under a lexicon {"words": {term: weight}, "stems": {stem: weight}}."""
+    """Features of texts under a lexicon of weights: "fuzzy" terms, exact "words", and "stems"."""
 
     def __init__(self, lexicon: dict[str, dict[str, float]]):
-        self.automaton, self.stems, self.seen = Automaton(lexicon["words"]), lexicon["stems"], {}
+        self.automaton, self.exact, self.stems, self.seen = Automaton(lexicon["fuzzy"]), lexicon["words"], lexicon["stems"], {}
 
     def word(self, raw: str) -> tuple[str, float, int] | None:
         """(what is matched, weight, edits) or None."""
         w = bare(raw)
         if len(w) < 3:
             return None
+        if w in self.exact:
+            return w, self.exact[w], 0
         weight, edits = self.automaton.match(w)
         if weight and not edits:
             return w, weight, 0
@@ -140,8 +143,9 @@ class Scorer:
         words, seen = text.split(), self.seen
         if len(seen) > KEPT_WORDS:
             seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = self.word(w)
+        for w in set(words):
+            if w not in seen:
+                seen[w] = self.word(w)
         hits = [i for i, w in enumerate(words) if seen[w]]
         abuse = wrong = quoted = best = 0.0
         terms = set()
@@ -195,17 +199,31 @@ def learn_lexicon(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, dict[str
 
     n = rows.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).persist()
     whole = n.filter("term = ''").first()
-    out: dict[str, dict[str, float]] = {"words": {}, "stems": {}}
+    out: dict[str, dict[str, float]] = {"fuzzy": {}, "words": {}, "stems": {}}
     if whole and whole["c"] and whole["t"]:
         odds = F.log((F.col("t") + 0.5) / (whole["t"] + 1)) - F.log((F.col("c") + 0.5) / (whole["c"] + 1))
         best = n.filter(f"term <> '' AND t >= {LEAST_TOXIC}").withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy((F.col("w") * F.col("t")).desc(), "term").limit(most)
-        for r in best.collect():  # at most ``most`` terms
-            kind = "stems" if r["term"].endswith("*") else "words"
-            out[kind][r["term"].rstrip("*")] = r["w"]
+        out = choose({r["term"]: (r["t"], r["w"]) for r in best.collect()}, whole["t"])  # at most ``most`` terms
     n.unpersist()
     return out
 
 
+def choose(found: dict[str, tuple[int, float]], toxic_rows: int) -> dict[str, dict[str, float]]:
+    """A stem stays unless one word makes up half of its rows; a word stays unless it has a stem that stays.  Words that
+    ``COMMON`` of the toxic rows hold go to the automaton; others are too rare to tell their misspellings from other words."""
+    words = {t: x for t, x in found.items() if not t.endswith("*")}
+    stems = {t[:-1]: x for t, x in found.items() if t.endswith("*")}
+    most: dict[str, int] = {}
+    for w, (t, _) in words.items():
+        for k in STEMS:
+            if len(w) >= k:
+                most[w[:k]] = max(most.get(w[:k], 0), t)
+    kept = {s: w for s, (t, w) in stems.items() if 2 * most.get(s, 0) < t}
+    alone = {w: x for w, x in words.items() if not any(w[:k] in kept for k in STEMS)}
+    common = {w for w, (t, _) in alone.items() if t >= COMMON * toxic_rows and allowed(w)}
+    return {"fuzzy": {w: alone[w][1] for w in alone if w in common}, "words": {w: alone[w][1] for w in alone if w not in common}, "stems": kept}
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps: (mean, scale, weights with the intercept last)."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -221,9 +239,21 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tu
     return mean, scale, w
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(lexicon: dict) -> Scorer:
+    """The process's scorer for a lexicon; its automaton and word table outlive the tasks of a worker."""
+    key = repr(lexicon)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(lexicon)
+    return _SCORERS[key]
+
+
 def _features(lexicon: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(lexicon)
+        scorer = scorer_of(lexicon)
         for batch in batches:
             x = [scorer.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["key", "x"])
@@ -253,7 +283,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text: str
         return source.select(F.col("key").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("abuse"), F.lit(0.0).alias("misspelled"), F.lit(0.0).alias("quoted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, w = Scorer(model["lexicon"]), model["weights"]
+        scorer, w = scorer_of(model["lexicon"]), model["weights"]
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
             z = (x - model["mean"]) / model["scale"] @ w[:-1] + w[-1]
