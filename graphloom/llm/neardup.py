@@ -11,8 +11,8 @@ similarity with the concentration of as many independent MinHashes, after expect
 smallest node is the leader and is compared exactly with all others, so a bucket of m costs m comparisons, not m * m.
 What may be dropped after that follows from the Jaccard distance being a metric: a node x linked to leader l, with
 d(l, x) < d(l, y) - 0.2 for every y in the bucket that isn't linked to l, can't be linked to any such y, and is connected
-to all the others by l.  The rest of the bucket goes to the next round with a new leader, until every pair of every bucket
-is compared, connected or ruled out.  Nothing is capped.  Comparisons of one leader are salted over tasks.
+to all the others by l.  The rest of the bucket goes to the next round with new leaders, one at first and four times as
+many in each round after that, until every pair of every bucket is compared, connected or ruled out.  Nothing is capped.  Comparisons of one leader are salted over tasks.
 
 Components are found by ``components``.  Null and empty texts have no shingles and are linked with nothing.  Rows that
 share an id are one document.  Rows with a null id are linked with nothing, have a null component, and are kept.  Only id
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import BROADCAST_ROWS, blocks, hashed_docs, mix, small, stash, table, unstash, window_hash
@@ -34,6 +34,7 @@ from graphloom.llm.components import components
 T, ROWS, SHINGLE, NUM, DEN = 128, 4, 2, 80, 100
 BANDS = T // ROWS
 _SALT_ROWS = 500
+MOST_LEADERS = 256
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -152,23 +153,29 @@ def links(pool_of, reps: DataFrame, size: int = SHINGLE, num: int = NUM, den: in
     alive = stash(keyed.join(crowded, "key"), "buckets")
     pool = stash(pool_of(alive.select("id").distinct()), "pool")
     tested = reps.sparkSession.createDataFrame([], _COMPARED)
+    leaders = 1
     while not alive.isEmpty():
-        lead = alive.groupBy("key").agg(F.min(F.struct(F.col("id").alias("leader"), F.col("n").alias("n_leader"))).alias("l")).select("key", "l.*")
-        rest = stash(alive.join(lead, "key").filter("id <> leader"), "rest")
+        # the filter on the rank reaches the map side, so a crowded bucket sends no more rows than leaders from a task
+        ranked = alive.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= leaders)
+        lead = ranked.select("key", F.col("id").alias("leader"), F.col("n").alias("n_leader"), F.max("id").over(Window.partitionBy("key")).alias("last"))
+        rest = stash(alive.join(lead, "key").filter("id > leader"), "rest")
         unstash(alive)
         low, high = F.least("n", "n_leader"), F.greatest("n", "n_leader")
         pairs = rest.filter(den * low >= num * high).select("leader", F.col("id").alias("node")).distinct()
         pairs = stash(pairs.join(tested, ["leader", "node"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(stash(compare(pool, pairs, size), "compared"))
-        known = rest.withColumnRenamed("id", "node").join(tested, ["leader", "node"], "left")
+        # a leader has met all of its bucket; the others go on unless a leader rules them out
+        known = rest.filter("id > last").withColumnRenamed("id", "node").join(tested, ["leader", "node"], "left")
         # a pair whose sizes rule a link out was not compared: its distance is at least this
         known = known.withColumn("d", F.coalesce(1 - F.col("both") / F.col("either"), 1 - low / high)).withColumn("linked", F.coalesce(den * F.col("both") >= num * F.col("either"), F.lit(False)))
-        nearest = known.filter("NOT linked").groupBy("key").agg(F.min("d").alias("nearest"))
-        left = known.join(nearest, "key").filter(~F.col("linked") | (F.col("d") >= F.col("nearest") - far - 1e-9))
+        nearest = known.filter("NOT linked").groupBy("key", "leader").agg(F.min("d").alias("nearest"))
+        out = F.col("linked") & (F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - far - 1e-9))
+        left = known.join(nearest, ["key", "leader"], "left").groupBy("key", "node").agg(F.max("n").alias("n"), F.max(out).alias("out")).filter("NOT out")
         several = left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
         alive = stash(left.join(several, "key").select(F.col("node").alias("id"), "n", "key"), "buckets")
         unstash(rest)
+        leaders = min(4 * leaders, MOST_LEADERS)
     return tested.filter(den * F.col("both") >= num * F.col("either")).select("leader", "node")
 
 
