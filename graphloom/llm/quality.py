@@ -80,7 +80,10 @@ def ledger(df: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame
     ))
     qualified = lambda rule: re.sub(r"\b(n_\w+|word_chars)\b", r"__q_measures.\1", rule)
     bits = " + ".join(f"(CASE WHEN {qualified(rule)} THEN {1 << bit}L ELSE 0L END)" for bit, _, rule in RULES)
-    df = df.withColumn(into, F.expr(f"named_struct({', '.join(f'{m!r}, __q_measures.{m}' for m in MEASURES)}, 'fail_bits', {bits})"))
+    whole = F.expr(f"named_struct({', '.join(f'{m!r}, __q_measures.{m}' for m in MEASURES)}, 'fail_bits', {bits})")
+    # a generator of one row: filters on the bits stay above it.  Else the optimizer pushes them down to the scan, and with
+    # them a copy of every expression above into every place, also inside lambdas, that names its column
+    df = df.withColumn(into, F.explode(F.array(whole)))
     return df.drop(*[c for c in df.columns if c.startswith("__q_")])
 
 
