@@ -5,7 +5,8 @@ in rounds T to 2T - 1 every element goes to bin i - T, so that all bins are fill
 keeps its smallest value and rounds end when all bins are filled.  The share of equal coordinates estimates the Jaccard
 similarity with the concentration of as many independent MinHashes, after expected O(n + T log T) hashes.
 
-*Banding.*  ``BANDS`` x ``ROWS`` coordinates; at similarity 0.8 a pair shares no band with probability 5e-8.
+*Banding.*  ``BANDS`` x ``ROWS`` coordinates; at similarity 0.8 a pair shares no band with probability 3e-7.  Six rows keep chance
+collisions, whose number grows with the square of the documents, rare.
 
 *Verification.*  Nodes are distinct sets (documents with equal sets are one node from the start).  In each bucket the
 smallest node is the leader and is compared exactly with all others, so a bucket of m costs m comparisons, not m * m.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import BROADCAST_ROWS, blocks, hashed_docs, mix, small, stash, table, unstash, window_hash
 from graphloom.llm.components import components
 
-T, ROWS, SHINGLE, NUM, DEN = 128, 4, 2, 80, 100
+T, ROWS, SHINGLE, NUM, DEN = 300, 6, 2, 80, 100
 BANDS = T // ROWS
 _SALT_ROWS = 500
 MOST_LEADERS = 256
