@@ -8,7 +8,8 @@ similarity with the concentration of as many independent MinHashes, after expect
 *Banding.*  ``BANDS`` x ``ROWS`` coordinates; at similarity 0.8 a pair shares no band with probability 3e-7.  Six rows keep chance
 collisions, whose number grows with the square of the documents, rare.
 
-*Verification.*  Nodes are distinct sets (documents with equal sets are one node from the start).  In each bucket the
+*Verification.*  Nodes are distinct sets (documents with equal sets are one node from the start).  First each node is
+compared with the smallest leader of its buckets; buckets within one component of those links are done.  In each other the
 smallest node is the leader and is compared exactly with all others, so a bucket of m costs m comparisons, not m * m.
 What may be dropped after that follows from the Jaccard distance being a metric: a node x linked to leader l, with
 d(l, x) < d(l, y) - 0.2 for every y in the bucket that isn't linked to l, can't be linked to any such y, and is connected
@@ -146,6 +147,23 @@ def compare(pool: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return together.mapInArrow(meet, _COMPARED).groupBy("leader", "node").agg(best).select("leader", "node", "x.both", "x.either")
 
 
+def _first_round(pool: DataFrame, alive: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Each node compared once, with the smallest node that leads any of its buckets and that its size allows."""
+    lead = alive.groupBy("key").agg(F.min(F.struct(F.col("id").alias("leader"), F.col("n").alias("n_leader"))).alias("l")).select("key", "l.*")
+    led = alive.join(lead, "key").filter("id > leader").filter(den * F.least("n", "n_leader") >= num * F.greatest("n", "n_leader"))
+    return compare(pool, stash(led.groupBy("id").agg(F.min("leader").alias("leader")).select("leader", F.col("id").alias("node")), "pairs"), size)
+
+
+def _mixed(alive: DataFrame, linked: DataFrame) -> DataFrame:
+    """The buckets whose nodes aren't all in one component of ``linked`` already."""
+    found = stash(components(linked, "leader", "node").select(F.col("node").alias("id"), "component"), "components")
+    own = alive.join(small(found), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    keys = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    out = stash(alive.join(keys, "key"), "buckets")
+    unstash(alive)
+    return out
+
+
 def links(pool_of, reps: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(leader, node) of verified links that connect whatever all links connect.  ``reps``: (id, n, bands); ``pool_of(ids)`` gives (id, text)."""
     far = 1 - num / den
@@ -153,7 +171,8 @@ def links(pool_of, reps: DataFrame, size: int = SHINGLE, num: int = NUM, den: in
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     alive = stash(keyed.join(crowded, "key"), "buckets")
     pool = stash(pool_of(alive.select("id").distinct()), "pool")
-    tested = reps.sparkSession.createDataFrame([], _COMPARED)
+    tested = stash(_first_round(pool, alive, size, num, den), "compared")
+    alive = _mixed(alive, tested.filter(den * F.col("both") >= num * F.col("either")))
     leaders = 1
     while not alive.isEmpty():
         # the filter on the rank reaches the map side, so a crowded bucket sends no more rows than leaders from a task
