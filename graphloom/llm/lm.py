@@ -5,18 +5,18 @@ add them up.  The number of shards is ``spark.sql.shuffle.partitions``, so a sha
 Unigrams are told apart by 64 bits, bigrams by 40 bits and their shard.
 
 *Filter.*  A bigram of count c >= 2 is quantised to level q(c) = floor(2 log2 c) - 1, and (bigram, 1) ... (bigram, q) are
-put into a Bloom filter of ``FILTER_BITS``, cut into segments that are built apart and then broadcast (16 MiB at any size
-of the corpus).  If the corpus has more than the filter holds at ``BITS_EACH`` bits a member, the least count that is put
-in rises until it fits.  Probing (bigram, 1), (bigram, 2), ... until the first miss gives the level, and with it at most
-the count, but for false positives.
+put into a Bloom filter of ``BITS_EACH`` bits a member at every size of the corpus (``FILTER_BITS`` at least), cut into
+segments.  Up to ``FILTER_BITS`` they are broadcast; a larger filter stays in shards, and the ids of a block of texts go to
+the shards and their levels come back.  Probing (bigram, 1), (bigram, 2), ... until the first miss gives the level, and
+with it at most the count, but for false positives.
 
 *Probability.*  P(w | v) = L f(v, w) / c(v) + (1 - L) P(w), where f is the count that the filter gives, L = 1 - (bigrams seen
 once) / (bigram tokens) is the Good-Turing mass of bigrams seen before, and P(w) = (1 - U) c(w) / N for known words and U, the share of
 tokens seen once, for the class of all unknown ones; f / c(v) sums to 1 at most, so P to 1 at most but for false positives.
-A history that is no head word has no bigram term.
+A history that no training row has gets no bigram term.
 
-*Exact unigrams at any size.*  Words with the largest counts, at most ``HEAD`` of them, are broadcast; all other tokens of
-a text are joined with the full counts.
+*Exact unigrams at any size.*  Words with the largest counts, at most ``HEAD`` of them, are broadcast; all other tokens and
+histories of a text are joined with the full counts.
 
 Texts without words are the end token alone, null as empty.  A null id is held out.  Rows are scored each, repeated ids
 and rows too; every training row counts.  Only id and text are read.
@@ -36,6 +36,7 @@ from graphloom.llm.common import blocks, hashed_docs, mix, stash, table
 HEAD, FILTER_BITS, SEGMENTS, BITS_EACH, PROBES = 1 << 20, 1 << 27, 64, 12, 3
 _SEGMENT = FILTER_BITS // SEGMENTS
 _FLUSH = 4_000_000
+_PACKED = 1 << 20  # bytes of text in a row that goes through a join
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _LEVELS = mix(np.arange(1, 130, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -82,19 +83,20 @@ def _bits(ids: np.ndarray, j: int) -> list[np.ndarray]:
     return [((x >> np.uint64(21 * p)) & np.uint64(_SEGMENT - 1)).astype(np.int64) for p in range(PROBES)]
 
 
-def segment_of(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids) % np.uint64(SEGMENTS)).astype(np.int64)
+def segment_of(ids: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    return (mix(ids) % np.uint64(segments)).astype(np.int64)
 
 
 def probe(filter_bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Level of each id: probes go on until the first miss."""
     out = np.zeros(len(ids), np.int64)
     alive = np.arange(len(ids))
+    segments = 8 * len(filter_bits) // _SEGMENT
     for j in range(1, len(_LEVELS)):
         if not len(alive):
             break
         some = ids[alive]
-        base = segment_of(some) * _SEGMENT
+        base = segment_of(some, segments) * _SEGMENT
         hit = np.ones(len(some), bool)
         for pos in _bits(some, j):
             at = base + pos
@@ -207,6 +209,71 @@ def build_filter(pairs: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+_ASKED = "g int, kind int, block long, data binary"
+
+
+def shard_filters(pairs: DataFrame, shards: int, segments: int) -> DataFrame:
+    """A filter of ``segments`` for the pairs of each shard, as rows of kind 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            ids, top = batch.column(0).to_numpy().view(np.uint64), level(batch.column(1).to_numpy())
+            shard = ids % np.uint64(shards)
+            for g in np.unique(shard):
+                bits = made.setdefault(int(g), np.zeros(segments * _SEGMENT // 8, np.uint8))
+                own, most = ids[shard == g], top[shard == g]
+                for j in range(1, int(most.max()) + 1):
+                    some = own[most >= j]
+                    for pos in _bits(some, j):
+                        at = segment_of(some, segments) * _SEGMENT + pos
+                        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for g, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["g", "kind", "block", "data"])
+
+    return pairs.repartition(shards, F.col("h") % shards).mapInArrow(run, _ASKED)
+
+
+def _by_shard(ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids by shard, their shards, and the place of each id among them."""
+    distinct, inverse = np.unique(ids, return_inverse=True)
+    g = (distinct % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], g[order], place[inverse]
+
+
+def block_levels(texts: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """(block, levels): for each row of (block, texts) the levels of its distinct ids, as parts (g, data) of the shards."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, g, _ = _by_shard(pair_ids(*tokens(own.as_py()), shards), shards)
+                ends = np.cumsum(np.bincount(g, minlength=shards))
+                rows = [(k, 1, block, _pack(ids[a:b] // np.uint64(shards))) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["g", "kind", "block", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = -1, None
+        for batch in batches:
+            blocks_, gs, out = [], [], []
+            for g, kind, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    at, bits = g, np.frombuffer(data, np.uint8)
+                    continue
+                ids = _unpack(data) * np.uint64(shards) + np.uint64(g)
+                blocks_.append(block)
+                gs.append(g)
+                out.append((probe(bits, ids) if at == g else np.zeros(len(ids))).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(gs, pa.int32()), pa.array(out, pa.binary())], names=["block", "g", "data"])
+
+    asked = texts.mapInArrow(ask, _ASKED).unionByName(filters)
+    parts = asked.repartition(shards, "g").sortWithinPartitions("g", "kind").mapInArrow(answer, "block long, g int, data binary")
+    return parts.groupBy("block").agg(F.collect_list(F.struct("g", "data")).alias("levels"))
+
+
 def _with_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = batch.column(0).to_numpy()
@@ -234,17 +301,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict:
     lone = counts.filter("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     q = F.floor(2 * F.log2("c") + 1e-9)  # counts are binned by level, so these tables have at most 128 rows
     words = [(r["q"], r["k"]) for r in uni.groupBy(q.alias("q")).agg(F.count("*").alias("k")).orderBy(F.desc("q")).collect()]
-    levels = [(r["q"], r["k"] * (r["q"] - 1)) for r in pairs.groupBy(q.alias("q")).agg(F.count("*").alias("k")).orderBy(F.desc("q")).collect()]
+    members = sum(r["k"] * (r["q"] - 1) for r in pairs.groupBy(q.alias("q")).agg(F.count("*").alias("k")).collect())
     as_count = lambda q: int(np.ceil(2 ** (min(q, 120) / 2) - 1e-6))
-    least_word, least_pair = as_count(_least_for(words, HEAD)), max(2, as_count(_least_for(levels, FILTER_BITS // BITS_EACH)))
+    least_word = as_count(_least_for(words, HEAD))
+    shared = members * BITS_EACH <= FILTER_BITS
     head = uni.filter(F.col("c") >= F.lit(min(least_word, (1 << 63) - 1))).toArrow()  # at most HEAD rows
     h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(h)
     return {"n": n, "v": v, "unknown": once / n if once else 1 / (n + 1), "bigram": 1 - lone / n if n else 0.0, "shards": shards, "head_h": h[order], "head_c": c[order],
-            "filter": build_filter(pairs, min(least_pair, (1 << 63) - 1)), "least_word": least_word, "counts": uni}
+            "filter": build_filter(pairs, 2) if shared else None, "pairs": pairs, "segments": -(-members * BITS_EACH // (shards * _SEGMENT)), "least_word": least_word, "counts": uni}
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,x:double>>"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,c:long,v:long,vc:long,g:double>>"
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,46 +320,77 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     n, v, unknown, lam, shards = (model[k] for k in ("n", "v", "unknown", "bigram", "shards"))
     shared = spark.sparkContext.broadcast((model["head_h"], model["head_c"], model["filter"]))  # HEAD * 16 bytes and FILTER_BITS at most
-    whole = n + 0.1 * (v + 1)
-    tail_type = pa.list_(pa.struct([("h", pa.int64()), ("x", pa.float64())]))
+    whole, cut = n + 0.1 * (v + 1), model["least_word"] > 1  # cut: some words are not in the head
+    kinds = (("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("vc", pa.int64()), ("g", pa.float64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(ids: pa.Array, held: pa.Array, h: np.ndarray, offset: np.ndarray, given: np.ndarray | None) -> pa.RecordBatch:
+        """given: the level of each token's pair, or None to look only at pairs that can count in the broadcast filter."""
         head_h, head_c, bits = shared.value
+        at = np.minimum(np.searchsorted(head_h, h), max(0, len(head_h) - 1))
+        c = np.where(head_h[at] == h, head_c[at], 0) if len(head_h) else np.zeros(len(h), np.int64)
+        starts = offset[:-1]
+        before, history = np.empty_like(c), np.empty_like(h)
+        before[1:], history[1:] = c[:-1], h[:-1]
+        before[starts], history[starts] = c[offset[1] - 1], END
+        known = c > 0
+        open_ = ~known | (before == 0) if cut else ~known
+        g = np.zeros(len(h))
+        some = np.flatnonzero((before > 0) | open_)
+        g[some] = count_at(probe(bits, pair_ids(h, offset, shards)[some]) if given is None else given[some])
+        x = np.where(before > 0, lam * np.minimum(g, before) / np.maximum(before, 1), 0.0)
+        back = np.where(before > 0, 1 - lam, 1.0)
+        base = np.where(known, np.log10((c + 0.1) / whole), 0.0)
+        s = np.where(open_, 0.0, np.log10(np.maximum(x + back * (1 - unknown) * c / max(n, 1), 1e-300)))
+        add = lambda z: np.add.reduceat(z, starts)
+        rest = np.flatnonzero(open_)
+        parts = (h[rest].view(np.int64), c[rest].astype(np.int64), history[rest].view(np.int64), before[rest].astype(np.int64), g[rest])
+        tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, offset).astype(np.int32)), pa.StructArray.from_arrays([pa.array(y, t) for y, (_, t) in zip(parts, kinds, strict=True)], names=[k for k, _ in kinds]))
+        return pa.RecordBatch.from_arrays([ids, held, pa.array(np.diff(offset)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(s)), tail.cast(pa.list_(pa.struct(kinds)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
-                h, offset = tokens(texts[a:b])
-                at = np.minimum(np.searchsorted(head_h, h), max(0, len(head_h) - 1))
-                c = np.where(head_h[at] == h, head_c[at], 0) if len(head_h) else np.zeros(len(h), np.int64)
-                end = c[offset[1] - 1]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[offset[:-1]] = end
-                some = np.flatnonzero(before)
-                f = np.zeros(len(h))
-                f[some] = np.minimum(count_at(probe(bits, pair_ids(h, offset, shards)[some])), before[some]) / before[some]
-                x = np.where(before > 0, lam * f, 0.0)
-                back = np.where(before > 0, 1 - lam, 1.0)
-                known = c > 0
-                base = np.where(known, np.log10((c + 0.1) / whole), 0.0)
-                s = np.where(known, np.log10(np.maximum(x + back * (1 - unknown) * c / max(n, 1), 1e-300)), 0.0)
-                starts = offset[:-1]
-                add = lambda z: np.add.reduceat(z, starts)  # noqa: B023, E731
-                rest = np.flatnonzero(~known)
-                # back is 1 - lam or 1: its sign goes with x, so that two numbers are enough
-                pairs = pa.StructArray.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(np.where(before[rest] > 0, x[rest], -1.0))], names=["h", "x"])
-                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, offset).astype(np.int32)), pairs)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offset)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(s)), tail.cast(tail_type)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                yield scored(part.column(0), part.column(1), *tokens(texts[a:b]), None)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in blocks(batch.column(2).to_pylist(), _PACKED):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([pa.array([x.to_pylist()], pa.list_(x.type)) for x in part.columns], names=["ids", "held", "texts"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = stash(source.mapInArrow(run, _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")  # row is fixed from here on
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.x")
-    found = tail.join(model["counts"].filter(F.col("c") < F.lit(min(model["least_word"], (1 << 63) - 1))), "h", "left")
-    c = F.coalesce("c", F.lit(0))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, held, texts, levels in zip(*batch.columns, strict=True):
+                h, offset = tokens(texts.as_py())
+                _, _, place = _by_shard(pair_ids(h, offset, shards), shards)
+                given = np.concatenate([np.frombuffer(p["data"], np.uint8) for p in sorted(levels.as_py(), key=lambda p: p["g"])])
+                yield scored(ids.values, held.values, h, offset, given[place].astype(np.int64))
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    if model["filter"] is not None:
+        made = source.mapInArrow(run, _SCORED)
+    else:
+        packed = source.mapInArrow(pack, "ids array<long>, held array<boolean>, texts array<binary>")
+        packed = stash(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")  # blocks are fixed from here on
+        levels = block_levels(packed.select("block", "texts"), shard_filters(model["pairs"], shards, model["segments"]), shards)
+        made = packed.join(levels, "block").select("ids", "held", "texts", "levels").mapInArrow(unpack, _SCORED)
+    rows = stash(made.withColumn("row", F.monotonically_increasing_id()), "scored")  # row is fixed from here on
+    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.*")
+    if cut:
+        rare = model["counts"].filter(F.col("c") < F.lit(min(model["least_word"], (1 << 63) - 1)))
+        for key, own in (("h", "c"), ("v", "vc")):  # what the head has counted joins by row, which spreads it and finds nothing
+            found = rare.select(F.col("h").alias("k"), F.col("c").alias("found"))
+            tail = tail.withColumn("k", F.when(F.col(own) > 0, F.col("row")).otherwise(F.col(key))).join(found, "k", "left")
+            tail = (tail.withColumn("late", F.col("c") == 0) if key == "h" else tail).withColumn(own, F.when(F.col(own) > 0, F.col(own)).otherwise(F.coalesce("found", F.lit(0)))).drop("k", "found")
+    else:
+        tail = tail.withColumn("late", F.col("c") == 0)
+    c, vc = F.col("c"), F.col("vc")
     word = F.when(c > 0, (1 - unknown) * c / max(n, 1)).otherwise(F.lit(unknown))
-    p = F.when(F.col("x") < 0, word).otherwise(F.col("x") + (1 - lam) * word)
-    more = found.groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10((c + 0.1) / F.lit(whole))).alias("b"), F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).alias("s"))
+    p = F.when(vc > 0, lam * F.least(F.col("g"), vc.cast("double")) / vc + (1 - lam) * word).otherwise(word)
+    # base has the tokens whose count the head gave
+    more = tail.groupBy("row").agg(F.count_if(F.col("late") & (c > 0)).alias("k"), F.sum(F.when(F.col("late"), F.log10((c + 0.1) / F.lit(whole)))).alias("b"), F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).alias("s"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return rows.drop("tail").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

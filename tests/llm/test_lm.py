@@ -78,3 +78,31 @@ def test_probabilities_sum_to_one_at_most(spark):
     # P(text "a w") = P(a) P(w | a) P(end | w); dividing P(end | w) out needs P(w)-free texts, so compare with one-word texts
     single = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), model).collect()}
     assert all(math.isfinite(x) and x < 0 for x in [*ends.values(), *single.values()])
+
+
+def brute_scores(rows):
+    """Every history and every pair of count 2 or more is used, with the filter's quantised counts."""
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    pairs_of = lambda t: zip([None, *t[:-1]], t, strict=True)
+    train = [tokens(t) for i, t in rows if not held(i)]
+    c, two = Counter(w for t in train for w in t), Counter(p for t in train for p in pairs_of(t))
+    n = sum(c.values())
+    once, lam = sum(x == 1 for x in c.values()), 1 - sum(x == 1 for x in two.values()) / n
+    unknown = once / n if once else 1 / (n + 1)
+    q = lambda x: 2 ** ((math.floor(2 * math.log2(x) + 1e-9) - 1 + 1) / 2) if x > 1 else 0.0
+    word = lambda w: (1 - unknown) * c[w] / n if w in c else unknown
+    p = lambda v, w: lam * min(q(two[v, w]), c[v]) / c[v] + (1 - lam) * word(w) if v in c else word(w)
+    return sorted((i, round(sum(math.log10(p(v, w)) for v, w in pairs_of(tokens(t))), 6)) for i, t in rows)
+
+
+@pytest.mark.parametrize("head", [1 << 20, 3, 0])
+@pytest.mark.parametrize("bits", [12, 1 << 20])
+def test_no_pair_or_history_is_left_out(spark, head, bits, monkeypatch):
+    rows = [(i, " ".join(["abcdefgh"[(i * k + k * k) % 8] for k in range(1, 25)] + [f"rare{i % 13}", f"after{i % 13}"])) for i in range(60)]
+    rows += [(100, "rare1 after1 new a b"), (101, "new new rare2 after2")]
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "BITS_EACH", bits)  # many bits a member: the filter goes over the bound of the broadcast
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(docs)
+    assert (model["filter"] is None) == (bits > 12)
+    assert sorted((r.doc_id, round(r.score, 6)) for r in lm.score(docs, model).collect()) == brute_scores(rows)
