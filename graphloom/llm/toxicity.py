@@ -1,7 +1,7 @@
 """Toxicity: a lexicon learned from labels, misspellings by Levenshtein automata over its trie, and context windows.
 
 *Lexicon.*  From labelled training rows: words, and stems of three to eight letters, that far more toxic than clean rows
-hold (smoothed log odds of their row frequencies).  *Automaton.*  The lexicon's common words form a trie; a state is the set of
+hold (smoothed log odds of their row frequencies).  *Automaton.*  All words of the lexicon that may have an edit form a trie; a state is the set of
 (trie node, edits so far), the product of the trie with the Levenshtein automata of all its words, and its transitions are
 made when they are first needed and kept.  A word that can reach no term dies after a few letters.  Words of 4 to 7
 letters may have one edit, longer ones two.  *Context.*  Each hit is looked at in a window of ``CONTEXT`` words on either
@@ -31,7 +31,6 @@ from graphloom.llm.common import table
 
 TRAIN_ROWS, MOST_TERMS, LEAST_TOXIC, LEAST_ODDS, CONTEXT, PREDICT = 8_000, 600, 4, 2.5, 8, 0.7
 STEMS = range(3, 9)
-COMMON = 1 / 12
 _OPEN, _CLOSE, _EVEN = "“«‘„‹", "”»’“›", "\"'"
 _STRIP = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + _OPEN + _CLOSE + "…–—¿¡"
 FEATURES = ("abuse", "best", "misspelled", "quoted", "share", "terms")
@@ -130,13 +129,11 @@ class Scorer:
             return None
         if w in self.exact:
             return w, self.exact[w], 0
-        weight, edits = self.automaton.match(w)
-        if weight and not edits:
-            return w, weight, 0
         stems = [(self.stems[w[:k]], w[:k]) for k in STEMS if w[:k] in self.stems]
         if stems:
             s, stem = max(stems)
             return stem, s, 0
+        weight, edits = self.automaton.match(w)
         return (w, weight, edits) if weight else None
 
     def features(self, text: str) -> list[float]:
@@ -203,14 +200,14 @@ def learn_lexicon(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, dict[str
     if whole and whole["c"] and whole["t"]:
         odds = F.log((F.col("t") + 0.5) / (whole["t"] + 1)) - F.log((F.col("c") + 0.5) / (whole["c"] + 1))
         best = n.filter(f"term <> '' AND t >= {LEAST_TOXIC}").withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy((F.col("w") * F.col("t")).desc(), "term").limit(most)
-        out = choose({r["term"]: (r["t"], r["w"]) for r in best.collect()}, whole["t"])  # at most ``most`` terms
+        out = choose({r["term"]: (r["t"], r["w"]) for r in best.collect()})  # at most ``most`` terms
     n.unpersist()
     return out
 
 
-def choose(found: dict[str, tuple[int, float]], toxic_rows: int) -> dict[str, dict[str, float]]:
-    """A stem stays unless one word makes up half of its rows; a word stays unless it has a stem that stays.  Words that
-    ``COMMON`` of the toxic rows hold go to the automaton; others are too rare to tell their misspellings from other words."""
+def choose(found: dict[str, tuple[int, float]]) -> dict[str, dict[str, float]]:
+    """A stem stays unless one word makes up half of its rows; a word is matched by itself unless it has a stem that stays.
+    The automaton has the words with and without such a stem: a misspelling may break the stem too."""
     words = {t: x for t, x in found.items() if not t.endswith("*")}
     stems = {t[:-1]: x for t, x in found.items() if t.endswith("*")}
     most: dict[str, int] = {}
@@ -220,8 +217,7 @@ def choose(found: dict[str, tuple[int, float]], toxic_rows: int) -> dict[str, di
                 most[w[:k]] = max(most.get(w[:k], 0), t)
     kept = {s: w for s, (t, w) in stems.items() if 2 * most.get(s, 0) < t}
     alone = {w: x for w, x in words.items() if not any(w[:k] in kept for k in STEMS)}
-    common = {w for w, (t, _) in alone.items() if t >= COMMON * toxic_rows and allowed(w)}
-    return {"fuzzy": {w: alone[w][1] for w in alone if w in common}, "words": {w: alone[w][1] for w in alone if w not in common}, "stems": kept}
+    return {"fuzzy": {w: x for w, (_, x) in words.items() if allowed(w)}, "words": {w: x for w, (_, x) in alone.items()}, "stems": kept}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

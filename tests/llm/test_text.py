@@ -90,6 +90,17 @@ def test_automaton_is_levenshtein():
         assert automaton.match(word) == expected, word
 
 
+def test_misspellings_of_rare_words(spark):
+    """Many toxic words, each in few toxic rows, some of them with a stem in common."""
+    bad = ["grubnik", "zolvarat", "mipterok", "quasheld", "fendorip", "blaxtuno", "vrimpeda", "drolken", "drolket", "drolkam", "drolkus", "jastibol", "kwelmard", "plonfrey", "snervig", "yolmekta"]
+    rows = [(f"this is {bad[i % len(bad)]} here number", 1, 0) for i in range(16 * len(bad))] + [("this is fine here number", 0, 0)] * 256
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int, part int"))
+    scorer = toxicity.Scorer(lexicon)
+    for w in bad:
+        assert scorer.word(w)[2] == 0 and scorer.word(w[0] + "x" + w[2:]), w
+    assert scorer.word("number") is None
+
+
 def test_quotation():
     w = 'He said "you idiot" and left'.split()
     assert toxicity.is_quoted(w, 3) and not toxicity.is_quoted("you idiot and more".split(), 1)
