@@ -1,7 +1,9 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests with false-discovery control for the rest.
 
 The battery takes every maximal run of 20 or more letters, digits and ``+/_=-`` that no pattern covers.  Its encoding is
-the smallest alphabet (hex, base32, letters of one case with digits, base62, base64, base64url) that holds its characters.
+the first alphabet (digits, letters of one case, hex, base32, letters of one case with digits, base62, base64, base64url)
+that holds its characters.  A run is cut at ``=`` inside it.  A part that mixes ``+/`` with ``-_`` is read twice, cut at
+``-_`` and cut at ``+/``; its pieces' p-values are doubled, and of pieces that overlap the one with most evidence stays.
 Three tests ask whether it is uniform over that alphabet: chi-squared over the symbols (moments that are exact for a
 uniform source, whatever the length), runs above and below the middle of the alphabet, and serial correlation at lag 1.
 Their smallest p-value times three is the battery's; a run stays if that is at least ``ALPHA``.
@@ -36,13 +38,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+PIECES = (re.compile(r"[A-Za-z0-9+/]+(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]+(?:=+\Z)?"))
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
 
 ALPHA, LEVEL, SAME, BINS = 0.01, 0.01, 0.9, 400
 LENGTHS = (20, 24, 32, 48, 96)
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ENCODINGS = [("hex", _DIGIT + "abcdef"), ("HEX", _DIGIT + "ABCDEF"), ("base32", _UPPER + "234567"), ("lower36", _DIGIT + _LOWER), ("upper36", _DIGIT + _UPPER), ("base62", _DIGIT + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGIT + "+/"), ("base64url", _UPPER + _LOWER + _DIGIT + "-_")]
+ENCODINGS = [("digits", _DIGIT), ("lower", _LOWER), ("upper", _UPPER), ("hex", _DIGIT + "abcdef"), ("HEX", _DIGIT + "ABCDEF"), ("base32", _UPPER + "234567"), ("lower36", _DIGIT + _LOWER), ("upper36", _DIGIT + _UPPER), ("base62", _DIGIT + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGIT + "+/"), ("base64url", _UPPER + _LOWER + _DIGIT + "-_")]
 _SETS = [(n, frozenset(a), {c: i for i, c in enumerate(a)}) for n, a in ENCODINGS]
 _CLASS = {c: k for k, chars in enumerate((_LOWER, _UPPER, _DIGIT)) for c in chars}
 
@@ -73,7 +77,7 @@ def battery(codes: list[int], size: int) -> tuple[float, float, float]:
 
 
 def examine(run: str) -> tuple[str, float, float] | None:
-    """(encoding, battery p, p under the ordinary hypothesis), or None if no encoding mixes its classes."""
+    """(encoding, battery p, p under the ordinary hypothesis), or None if no encoding holds it or it is short."""
     bare = run.rstrip("=")
     chars = set(bare)
     for name, alphabet, code in _SETS:
@@ -82,7 +86,7 @@ def examine(run: str) -> tuple[str, float, float] | None:
     else:
         return None
     classes = [_CLASS.get(c, 3) for c in bare]
-    if len(bare) < LEAST or len(set(classes) - {3}) < 2:
+    if len(bare) < LEAST:
         return None
     p = min(1.0, 3 * min(battery([code[c] for c in bare], len(alphabet))))
     share = Counter(_CLASS.get(c, 3) for c in alphabet)
@@ -92,6 +96,20 @@ def examine(run: str) -> tuple[str, float, float] | None:
     return name, p, math.exp(-max(0.0, min(log_e, 700)))
 
 
+def parts(run: str) -> list[tuple[int, str, int]]:
+    """(start in the run, part, number of readings) of what is to be tested."""
+    out = []
+    for m in PART.finditer(run):
+        bare = m[0].rstrip("=")
+        if len(bare) < LEAST:
+            continue
+        if ("+" in bare or "/" in bare) and ("-" in bare or "_" in bare):
+            out += [(m.start() + x.start(), x[0], 2) for reading in PIECES for x in reading.finditer(m[0])]
+        else:
+            out.append((m.start(), m[0], 1))
+    return out
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """(base spans as (start, kind, end), candidates as (start, end, length class, bin)) of one text."""
     base: list[tuple[int, int, int]] = []
@@ -108,11 +126,20 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             at += len(word)
     base.sort()
     out = []
-    for start, run in found:
-        end = start + len(run)
-        if any(s < end and start < e for s, _, e in base) or not (got := examine(run)) or got[1] < ALPHA:
-            continue
-        out.append((start, end, bisect_right(LENGTHS, len(run)) - 1, min(BINS - 1, int(-10 * math.log10(got[2])))))
+    for at, run in found:
+        own: list[tuple[float, int, int]] = []
+        for start, part, readings in parts(run):
+            start += at
+            end = start + len(part)
+            if any(s < end and start < e for s, _, e in base) or not (got := examine(part)) or got[1] < ALPHA:
+                continue
+            own.append((min(1.0, readings * got[2]), start, end))
+        taken: list[tuple[int, int]] = []
+        for p, start, end in sorted(own):
+            if not any(s < end and start < e for s, e in taken):
+                taken.append((start, end))
+                out.append((start, end, bisect_right(LENGTHS, end - start) - 1, min(BINS - 1, int(-10 * math.log10(p)))))
+    out.sort()
     return base, out
 
 

@@ -55,6 +55,21 @@ def test_secret_scan(spark):
     assert secrets.scan_table(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_inside_runs(spark):
+    rng = random.Random(21)
+    token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    b62 = string.ascii_letters + string.digits
+    keys = [token(b62, 48), token(b62, 64), token(b62, 46) + "+" + token(b62, 40), token(b62, 20) + "_" + token(b62, 40), token(string.ascii_uppercase, 90)]
+    texts = [f"call auth={keys[0]} now", f"a client_key={keys[1]}== b", f"k live-prod_{keys[2]} end", f"see path/to/{keys[3]} end", f"up {keys[4]} end"]
+    assert secrets.examine(token(string.digits, 22))[0] == "digits"  # longer ones are hex spans already
+    assert all(b == 0 for *_, b in secrets.scan("é /usr/local/lib/python/site-packages/some_long-name=thing/other_long-name end")[1])
+    for text, key in zip(texts, keys, strict=True):
+        found = secrets.scan_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        (span,) = found.spans.split(",")
+        kind, start, end = span.split(":")
+        assert kind == "random" and key in text[int(start) : int(end)] and int(end) - int(start) <= len(key) + 10, text
+
+
 def test_battery_levels():
     rng = random.Random(4)
     for size, n in ((16, 40), (62, 32), (64, 200)):
