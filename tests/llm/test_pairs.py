@@ -86,9 +86,18 @@ def test_near_duplicates_bucket_needs_rounds(spark):
     df = frame(spark, rows)
     one = neardup.sketched(df, "doc_id", "text", 2).selectExpr("doc_id AS id", "n", "array(1L) AS bands")
     pool = lambda ids: df.selectExpr("doc_id AS id", "cast(text AS binary) AS text").join(ids, "id", "left_semi")
-    found = components(neardup.links(pool, one, 2), "leader", "node")
-    got = {i: i for i, _ in rows} | {r.node: r.component for r in found.collect()}
-    assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()}
+    expected = {i: c for i, (_, c) in brute_components(rows, 2).items()}
+    # one group of the whole cell, its bucket as a group, the bucket split in blocks
+    for most in (neardup.MOST_WEIGHT, 15 * 1150, 5000, 1):
+        found = components(neardup.links(pool, one, 2, most=most), "leader", "node")
+        assert {i: i for i, _ in rows} | {r.node: r.component for r in found.collect()} == expected
+
+
+def test_near_duplicates_in_split_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup.links, "__defaults__", (*neardup.links.__defaults__[:-1], 9000))
+    rows = fixture_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows, 2)
 
 
 def test_near_duplicates_edges(spark):
