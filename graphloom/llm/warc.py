@@ -2,8 +2,11 @@
 
 ``write_archives`` gives every page a gzip member in an archive of its task (``response``, or ``revisit`` without payload
 where a page with a larger id has the same payload), and gives the files' names.  ``read_archives`` parses archives back
-and checks digests.  ``merge_index`` turns locally sorted runs into globally ordered capture histories: rows are ranged
-by (URL key, timestamp, id), and each range merges the runs that reach into it with a tree of losers.
+and checks digests.  ``merge_index`` turns captures into globally ordered capture histories by an external merge: each task
+sorts ``RUN_ROWS`` captures at a time and writes them as a run, in chunks of ``CHUNK_ROWS``, to the shared folder; only the
+chunks' places and first and last keys go through Spark.  A range of (URL key, timestamp, id) is one task, which reads the
+chunks that reach into it and merges their runs with a tree of losers.  A task holds one chunk of each run, ``FAN_IN`` of
+them at most: with more runs, groups of ``FAN_IN`` are first merged to longer runs, range by range.
 
 Null html is an empty payload; equal payloads are equal by SHA-1 and length.  A null url has the empty key.  Rows that
 repeat the largest page id of a payload are all responses; a null page id is one too.  Archive names hold the task attempt, and only names that a finished task
@@ -13,11 +16,14 @@ returned are read, so a task that runs twice leaves a file that nothing reads.
 from __future__ import annotations
 
 import base64
+import bisect
 import calendar
 import gzip
 import hashlib
 import io
+import itertools
 import re
+import struct
 import time
 import uuid
 import zlib
@@ -25,12 +31,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import fresh_path, small, stash, table
 
 FIRST_CAPTURE = 1_600_000_000
+RUN_ROWS, CHUNK_ROWS, FAN_IN = 50_000, 1_000, 128
 CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, captured_at long, archive string, record_offset long"
 _NAMES = [x.split()[0] for x in CAPTURES.split(", ")]
 _TYPES = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in CAPTURES.split(", ")]
@@ -118,31 +125,44 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], by
         offset += used
 
 
+def capture(archive: str, offset: int, h: dict[str, str], block: bytes) -> tuple:
+    """The row of a record; an error if its digest or length isn't that of its block."""
+    digest = h["warc-payload-digest"].removeprefix("sha1:")
+    if h["warc-type"] == "response" and (base32_sha1(block) != digest or len(block) != int(h["x-payload-length"])):
+        raise ValueError(f"{archive}: the record at {offset} doesn't match its digest")
+    page = None if h["x-page-id"] == "None" else int(h["x-page-id"])
+    refers = int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None
+    return page, int(h["x-payload-length"]), digest, h["warc-type"], refers, h["x-url-key"], calendar.timegm(time.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%SZ")), archive, offset
+
+
+def _batches(rows: Iterator[tuple], size: int = 10_000, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Batches of captures, each row with further columns of longs."""
+    types, names = [*_TYPES, *[pa.int64()] * len(more)], [*_NAMES, *more]
+    for some in itertools.batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+
+
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """``CAPTURES``, one row for each record, each archive a task's run sorted by (urlkey, captured_at, page_id)."""
+    """``CAPTURES``, one row for each record, in the archives' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = []
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                    for offset, h, block in records(stream):
-                        digest = h["warc-payload-digest"].removeprefix("sha1:")
-                        if h["warc-type"] == "response" and (base32_sha1(block) != digest or len(block) != int(h["x-payload-length"])):
-                            raise ValueError(f"{name}: the record at {offset} doesn't match its digest")
-                        page = None if h["x-page-id"] == "None" else int(h["x-page-id"])
-                        refers = int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None
-                        rows.append((page, int(h["x-payload-length"]), digest, h["warc-type"], refers, h["x-url-key"], calendar.timegm(time.strptime(h["warc-date"], '%Y-%m-%dT%H:%M:%SZ')), name, offset))
-                rows.sort(key=order)
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), _TYPES, strict=True)], names=_NAMES)
+                    yield from _batches(capture(name, *r) for r in records(stream))
 
     return archives.select("archive").mapInArrow(run, CAPTURES)
 
 
+def sort_key(row: tuple) -> bytes:
+    """Bytes that sort like (urlkey, captured_at, page_id), null first."""
+    page = b"\0" if row[0] is None else b"\1" + struct.pack(">Q", row[0] + (1 << 63))
+    return row[5].encode().replace(b"\0", b"\0\1") + b"\0\0" + struct.pack(">Q", row[6] + (1 << 63)) + page
+
+
 def order(row: tuple) -> tuple:
-    return row[5].encode(), row[6], row[0] is not None, row[0] or 0, row[7], row[8]
+    return sort_key(row), row[7], row[8]
 
 
 class LoserTree:
@@ -183,31 +203,114 @@ class LoserTree:
             self._replay(w)
 
 
-def merge_index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The captures in global order of (urlkey, captured_at, page_id) from partition to partition, with
-    ``position``: it grows strictly in that order (range number << 33, plus the number in the range)."""
-    n = ranges or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = captures.repartitionByRange(n, "urlkey", "captured_at", "page_id")
+_CHUNKS = "run long, path string, start long, length long, low binary, high binary"
+
+
+def _write_run(folder: str, rows: Iterator[tuple], run: int, chunk_rows: int) -> Iterator[tuple]:
+    """Write sorted rows as a file of chunks and give their rows of ``_CHUNKS``."""
+    fs, path = _store(folder)
+    fs.create_dir(path, recursive=True)
+    name, at = f"run-{uuid.uuid4().hex}", 0
+    with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+        for batch in _batches(rows, chunk_rows):
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            data = sink.getvalue()
+            out.write(data)
+            first, last = (tuple(c[k].as_py() for c in batch.columns) for k in (0, -1))
+            yield run, name, at, len(data), sort_key(first), sort_key(last)
+            at += len(data)
+
+
+def _read_run(folder: str, chunks: list[tuple[str, int, int]], low: bytes, high: bytes | None) -> Iterator[tuple]:
+    """Rows of a run's chunks (path, start, length) with low <= key < high, one chunk in memory at a time."""
+    fs, path = _store(folder)
+    for name, parts in itertools.groupby(chunks, key=lambda c: c[0]):
+        with fs.open_input_file(f"{path}/{name}") as file:
+            for _, start, length in parts:
+                file.seek(start)
+                for batch in pa.ipc.open_stream(file.read(length)):
+                    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        if low <= (key := sort_key(row)) and (high is None or key < high):
+                            yield row
+
+
+def _as_chunks(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    for some in itertools.batched(rows, 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=["run", "path", "start", "length", "low", "high"])
+
+
+def sorted_runs(captures: DataFrame, folder: str, run_rows: int = RUN_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Write each task's captures in sorted runs and give their chunks; a run's number is its task's, with a count in the low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for k, some in enumerate(itertools.batched(rows, run_rows)):
+            yield from _as_chunks(_write_run(folder, iter(sorted(some, key=order)), first + k, chunk_rows))
+
+    return captures.select(*_NAMES).mapInArrow(run, _CHUNKS)
+
+
+def _ranges(chunks: DataFrame, most: int, runs: int) -> list[bytes]:
+    """Starts of at most ``most`` ranges after the first, with about as many chunks each; not so many that a chunk reaches into several."""
+    n = min(most, max(1, 2 * chunks.count() // runs))
+    parted = chunks.select("low").repartitionByRange(n, "low").groupBy(F.spark_partition_id().alias("k")).agg(F.min("low").alias("low"))
+    return sorted(bytes(r["low"]) for r in parted.collect())[1:]  # one key for each range
+
+
+def _by_range(chunks: DataFrame, groups: DataFrame, bounds: list[bytes]) -> DataFrame:
+    """Each chunk once for each range that it reaches into, rows of a (range, grp) together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[7], []).append(row)
-        for rows in runs.values():
-            rows.sort(key=order)  # the exchange keeps a run's order but for blocks that were fetched again: linear
-        position, out = TaskContext.get().partitionId() << 33, []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*_TYPES, pa.int64()], strict=True)], names=[*_NAMES, "position"])
-        for row in LoserTree([iter(r) for r in runs.values()]):
-            out.append((*row, position))
-            position += 1
-            if len(out) == 10_000:
-                yield flush()
-                out = []
-        if out:
-            yield flush()
-
-    return ranged.mapInArrow(run, CAPTURES + ", position long")
+            low, high = batch.column("low").to_pylist(), batch.column("high").to_pylist()
+            spans = [range(bisect.bisect_right(bounds, a), bisect.bisect_right(bounds, b) + 1) for a, b in zip(low, high, strict=True)]
+            at = pa.array([i for i, x in enumerate(spans) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r for x in spans for r in x], pa.int64()), *(batch.column(k).take(at) for k in ("grp", "run", "path", "start", "length", "low"))], names=["r", "grp", "run", "path", "start", "length", "low"])
+
+    spread = chunks.join(small(groups), "run").mapInArrow(run, "r long, grp long, run long, path string, start long, length long, low binary")
+    return spread.repartitionByRange(len(bounds) + 1, "r", "grp").sortWithinPartitions("r", "grp", "run", "low", "path", "start")
+
+
+def _merged(batches: Iterator[pa.RecordBatch], folder: str, bounds: list[bytes]) -> Iterator[tuple[int, int, Iterator[tuple]]]:
+    """(range, group, merged rows) of what ``_by_range`` sends to a task."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True))
+    for (r, grp), some in itertools.groupby(rows, key=lambda x: x[:2]):
+        low, high = bounds[r - 1] if r else b"", bounds[r] if r < len(bounds) else None
+        runs = [_read_run(folder, [x[3:] for x in own], low, high) for _, own in itertools.groupby(some, key=lambda x: x[2])]
+        yield r, grp, iter(LoserTree(runs))
+
+
+def merge_index(captures: DataFrame, ranges: int | None = None, run_rows: int = RUN_ROWS, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """The captures in global order of (urlkey, captured_at, page_id), with ``position``: it grows strictly in that order
+    (range number << 33, plus the number in the range)."""
+    n, folder = ranges or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), fresh_path(captures.sparkSession, "runs")
+    chunks = stash(sorted_runs(captures, folder, run_rows, chunk_rows), "chunks")
+    while True:
+        runs = chunks.select("run").distinct()
+        k = runs.count()
+        last = k <= fan_in
+        bounds = _ranges(chunks, n, max(1, k))
+        # a row for each run of RUN_ROWS captures or more: small enough for one window
+        number = F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in)
+        sent = _by_range(chunks, runs.withColumn("grp", F.lit(0).cast("long") if last else number.cast("long")), bounds)
+        if last:
+            break
+
+        def longer(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
+            for _, grp, rows in _merged(batches, folder, bounds):
+                yield from _as_chunks(_write_run(folder, rows, grp, chunk_rows))
+
+        chunks = stash(sent.mapInArrow(longer, _CHUNKS), "chunks")
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, _, rows in _merged(batches, folder, bounds):
+            yield from _batches(((*row, (r << 33) + k) for k, row in enumerate(rows)), more=("position",))
+
+    return sent.mapInArrow(final, CAPTURES + ", position long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

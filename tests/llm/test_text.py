@@ -7,6 +7,7 @@ import html as entities
 import random
 import re
 import string
+import time
 import zlib
 
 import pytest
@@ -164,6 +165,41 @@ def test_main_text(page, text):
     assert html.main_text(page or "") == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p class=ad>x<p>y <span class='promo'>z</span>w</article>", "y w"), ("a < b <3", "a < b <3"), ("x<b", "x"), ('<a "><p>y</p>', "y"),
+    ("<article><math>1</math> <object>2</object><svg><text>3</text></svg></article>", "1 23"), ("<article></article><footer>f</footer>", ""),
+])
+def test_main_text_of_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ['<p "' * 250_000, "<div>" * 20_000 + "x", "<!x" * 300_000, "<div class=a>" * 20_000 + "</section>" * 20_000, "<script " + "</script" * 100_000, '<p "> <p" ' * 100_000])
+def test_main_text_is_linear(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_template_selects_the_text(spark, sf):
+    """The driver's pages without their mark give the same text, by the template alone."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = [(r.page_id, r.url, re.sub("(</?)article>", r"\1div>", r.html)) for r in pages.values()]
+    assert not any("<article" in h for _, _, h in rows)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: plain(r.html) for k, r in pages.items()}
+
+
+def test_template_of_two_layouts_overrules_marks(spark):
+    """Menus without a telling name differ by page, teasers are marked as articles, and either layout has half of the pages."""
+    rows = []
+    for k in range(1, 21):
+        menu, teaser = f"<div class=x>m{k} n</div>", f"<div class=y><article>teaser {k}</article></div>"
+        body = f"<div class=z{{}}>{'long story ' * 20}{k}<div class=same>same on all</div></div>"
+        rows.append((k, "http://h/", f"<body>{menu}{body.format('a')}{teaser}" if k % 2 else f"<body><table class=t><tr><td>{menu}{body.format('b')}</table>{teaser}"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{'long story ' * 20}{k}" for k in range(1, 21)}
+
+
 def test_template_without_marks(spark):
     """No article element: the host's own text goes, the data of each page stays."""
     rows = [(k, "https://h.example/" + str(k), f"<body><div class='top'>Our site name</div><div class='body{k}'><p>story {k} {'word ' * k}</p></div><div class='end'>All rights</div></body>", "x") for k in range(1, 8)]
@@ -194,6 +230,18 @@ def test_archives_driver_table(spark, sf):
     assert warc.op8_warc(spark, sf).count() == pages
 
 
+@pytest.mark.parametrize(("run_rows", "chunk_rows", "fan_in", "ranges"), [(7, 2, 3, 5), (1, 1, 2, 3), (1000, 10, 2, 4), (1000, 1000, 128, 1)])
+def test_external_merge(spark, run_rows, chunk_rows, fan_in, ranges):
+    """Few rows, chunks and runs at a time; a key that holds a third of all rows; null ids, repeated rows, keys with a NUL."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, rng.randrange(-40, 40)]), k, "d", "response", None, rng.choice(["a)/", "a)/", "é)/x", "b\0)", "b", "", f"k{k})/"]), rng.randrange(3), f"arc{k % 4}", k) for k in range(120)]
+    captures = spark.createDataFrame(rows, warc.CAPTURES).repartition(4)
+    got = sorted(warc.merge_index(captures, ranges, run_rows, chunk_rows, fan_in).collect(), key=lambda r: r.position)
+    assert [tuple(r)[:-1] for r in got] == sorted(rows, key=lambda r: (r[5].encode(), r[6], r[0] is not None, r[0] or 0, r[7], r[8]))
+    assert len({r.position for r in got}) == 120
+    assert warc.merge_index(captures.limit(0), ranges).count() == 0
+
+
 def test_loser_tree():
     rng = random.Random(9)
     for k in range(0, 9):
