@@ -1,12 +1,16 @@
 """Toxicity: a lexicon learned from labels, misspellings by Levenshtein automata over its trie, and context windows.
 
-*Lexicon.*  From labelled training rows: words, and stems of three to eight letters, that far more toxic than clean rows
-hold (smoothed log odds of their row frequencies).  *Automaton.*  All words of the lexicon that may have an edit form a trie; a state is the set of
+*Lexicon.*  From labelled training rows: all words, and stems of three to eight letters, that far more toxic than clean rows
+hold (smoothed log odds of their row frequencies, and a likelihood ratio that chance alone exceeds once in 10,000 terms).
+*Automaton.*  All words of the lexicon that may have an edit form a trie; a state is the set of
 (trie node, edits so far), the product of the trie with the Levenshtein automata of all its words, and its transitions are
 made when they are first needed and kept.  A word that can reach no term dies after a few letters.  Words of 4 to 7
-letters may have one edit, longer ones two.  *Context.*  Each hit is looked at in a window of ``CONTEXT`` words on either
+letters may have one edit, longer ones two.  A word that clean training rows hold twice or more is a word of its own and no misspelling.
+*Context.*  Each hit is looked at in a window of ``CONTEXT`` words on either
 side: between quotation marks that open before and close after it, it counts as quotation, else as abuse.  A logistic
-regression over these sums, fitted on a part of the training rows that the lexicon hasn't seen, gives the score.
+regression over these sums, fitted on a part of the training rows that the lexicon hasn't seen, gives the score.  Each of
+those rows is fitted twice, as it is and with its hits taken for misspelled ones, since misspellings are rare among labelled
+rows; no weight is below 0.  Quoted hits enter only the sum of their own, which has no weight where no labelled row quotes.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled rows of either class, those with the smallest hashes of their ids (a
 documented bound; it doesn't depend on the order of rows).  All rows are scored, over whole texts.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
-TRAIN_ROWS, MOST_TERMS, LEAST_TOXIC, LEAST_ODDS, CONTEXT, PREDICT = 8_000, 600, 4, 2.5, 8, 0.7
+TRAIN_ROWS, LEAST_TOXIC, LEAST_ODDS, LEAST_RATIO, CONTEXT, PREDICT = 8_000, 4, 2.5, 15.1, 8, 0.7
 STEMS = range(3, 9)
 _OPEN, _CLOSE, _EVEN = "“«‘„‹", "”»’“›", "\"'"
 _STRIP = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + _OPEN + _CLOSE + "…–—¿¡"
@@ -117,10 +121,11 @@ class Automaton:
 
 
 class Scorer:
-    """Features of texts under a lexicon of weights: "fuzzy" terms, exact "words", and "stems"."""
+    """Features of texts under a lexicon of weights: "fuzzy" terms, exact "words", "stems", and "ordinary" words that are no misspellings."""
 
     def __init__(self, lexicon: dict[str, dict[str, float]]):
         self.automaton, self.exact, self.stems, self.seen = Automaton(lexicon["fuzzy"]), lexicon["words"], lexicon["stems"], {}
+        self.ordinary = lexicon.get("ordinary", {})
 
     def word(self, raw: str) -> tuple[str, float, int] | None:
         """(what is matched, weight, edits) or None."""
@@ -133,10 +138,13 @@ class Scorer:
         if stems:
             s, stem = max(stems)
             return stem, s, 0
+        if w in self.ordinary:
+            return None
         weight, edits = self.automaton.match(w)
         return (w, weight, edits) if weight else None
 
-    def features(self, text: str) -> list[float]:
+    def features(self, text: str, misspelled: bool = False) -> list[float]:
+        """With ``misspelled``, all hits of four or more letters count as misspelled."""
         words, seen = text.split(), self.seen
         if len(seen) > KEPT_WORDS:
             seen.clear()
@@ -145,18 +153,20 @@ class Scorer:
                 seen[w] = self.word(w)
         hits = [i for i, w in enumerate(words) if seen[w]]
         abuse = wrong = quoted = best = 0.0
-        terms = set()
+        terms, said = set(), 0
         for i in hits:
             term, weight, edits = seen[words[i]]
             if is_quoted(words, i):
                 quoted += weight
-            elif edits:
+                continue
+            said += 1
+            if edits or misspelled and allowed(term):
                 wrong += weight
             else:
                 abuse += weight
                 best = max(best, weight)
                 terms.add(term)
-        return [math.log1p(abuse), best, math.log1p(wrong), math.log1p(quoted), math.log1p(100 * len(hits) / max(1, len(words))), math.log1p(len(terms))]
+        return [math.log1p(abuse), best, math.log1p(wrong), math.log1p(quoted), math.log1p(100 * said / max(1, len(words))), math.log1p(len(terms))]
 
 
 def is_quoted(words: list[str], i: int) -> bool:
@@ -182,7 +192,9 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "part")  # at most 2 * rows
 
 
-def learn_lexicon(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, dict[str, float]]:
+def learn_lexicon(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """The terms that tell toxic rows from clean ones, and the words of clean rows that lie within a misspelling of a term; both
+    are collected, bounded by the words of the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both: tuple[Counter, Counter] = Counter(), Counter()
@@ -196,11 +208,25 @@ def learn_lexicon(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, dict[str
 
     n = rows.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).persist()
     whole = n.filter("term = ''").first()
-    out: dict[str, dict[str, float]] = {"fuzzy": {}, "words": {}, "stems": {}}
+    out: dict[str, dict[str, float]] = {"fuzzy": {}, "words": {}, "stems": {}, "ordinary": {}}
     if whole and whole["c"] and whole["t"]:
         odds = F.log((F.col("t") + 0.5) / (whole["t"] + 1)) - F.log((F.col("c") + 0.5) / (whole["c"] + 1))
-        best = n.filter(f"term <> '' AND t >= {LEAST_TOXIC}").withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy((F.col("w") * F.col("t")).desc(), "term").limit(most)
-        out = choose({r["term"]: (r["t"], r["w"]) for r in best.collect()})  # at most ``most`` terms
+        # likelihood ratio of the term's rows being toxic more often than all rows are
+        p = whole["t"] / (whole["t"] + whole["c"])
+        part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.col("t") + F.col("c")) / q)).otherwise(0.0)
+        rated = n.filter("term <> ''").withColumn("w", odds)
+        best = rated.filter((F.col("t") >= LEAST_TOXIC) & (F.col("w") >= LEAST_ODDS) & (2 * (part("t", p) + part("c", 1 - p)) >= LEAST_RATIO))
+        out = choose({r["term"]: (r["t"], r["w"]) for r in best.collect()})
+        if out["fuzzy"]:
+            terms = out["fuzzy"]
+
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                automaton = Automaton(terms)
+                for batch in batches:
+                    yield pa.RecordBatch.from_pydict({"term": pa.array([w for w in batch.column(0).to_pylist() if automaton.match(w)[0]], pa.string())})
+
+            plain = rated.filter(~F.col("term").endswith("*") & (F.col("c") >= 2) & (F.col("w") < LEAST_ODDS)).select("term")
+            out["ordinary"] = {r["term"]: 0.0 for r in plain.mapInArrow(near, "term string").collect()}
     n.unpersist()
     return out
 
@@ -221,18 +247,24 @@ def choose(found: dict[str, tuple[int, float]]) -> dict[str, dict[str, float]]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton steps: (mean, scale, weights with the intercept last)."""
+    """Ridge logistic regression with no weight below 0, by Newton steps on the weights that are free: (mean, scale, weights with the intercept last)."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    keep = np.diag([ridge] * x.shape[1] + [0.01])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + keep, z.T @ (y - p) - keep @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    free = np.ones(z.shape[1], bool)
+    keep = np.append(np.full(x.shape[1], ridge), 0.01)
+    for _ in range(2 * len(free)):
+        w, own = np.zeros(len(free)), z[:, free]
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(own @ w[free], -30, 30)))
+            step = np.linalg.solve(own.T @ (own * (p * (1 - p))[:, None]) + np.diag(keep[free]), own.T @ (y - p) - keep[free] * w[free])
+            w[free] += step
+            if np.abs(step).max() < 1e-8:
+                break
+        below = np.flatnonzero(w[:-1] < 0)
+        if not len(below):
             break
-    return mean, scale, w
+        free[below[np.argmin(w[below])]] = False  # one at a time: without it, others may be positive
+    return mean, scale, np.where(free, w, 0.0)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -251,8 +283,9 @@ def _features(lexicon: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(lexicon)
         for batch in batches:
-            x = [scorer.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["key", "x"])
+            x = [scorer.features(t, wrong) for t in batch.column(0).to_pylist() for wrong in (False, True)]
+            keys = pa.array(np.repeat(batch.column(1).to_numpy(), 2))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(x, pa.list_(pa.float64()))], names=["key", "x"])
 
     return run
 
@@ -262,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
     sample = training(docs, labels, rows).persist()
     try:
         lexicon = learn_lexicon(sample.filter("part = 0"))
-        got = sample.filter("part = 1").select("text", F.col("toxic").cast("long")).mapInArrow(_features(lexicon), "key long, x array<double>").collect()  # at most 2 * rows
+        got = sample.filter("part = 1").select("text", F.col("toxic").cast("long")).mapInArrow(_features(lexicon), "key long, x array<double>").collect()  # at most 4 * rows
     finally:
         sample.unpersist()
     y = np.array([r["key"] for r in got], float)

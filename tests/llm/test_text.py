@@ -117,6 +117,23 @@ def test_misspellings_of_rare_words(spark):
     assert scorer.word("number") is None
 
 
+def test_misspellings_and_quotations_move_the_score(spark):
+    """Labelled rows have neither; ordinary words that look like a term are no misspellings."""
+    rng = random.Random(8)
+    filler, bad = ["river", "stone", "walking", "garden", "window", "letter", "grubnit", "morning"], ["grubnik", "zolvarat", "mipterok"]
+    say = lambda n: [rng.choice(filler) for _ in range(n)]
+    rows = [(i, " ".join([*say(20), *([rng.choice(bad)] if i % 4 == 0 else []), *say(20)]), int(i % 4 == 0)) for i in range(1200)]
+    docs, labels = spark.createDataFrame([(i, t, i) for i, t, _ in rows], "doc_id long, text string, score long"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert (model["weights"][:-1] >= 0).all() and "grubnit" in model["lexicon"]["ordinary"]
+    texts = {"clean": "{}", "plain": "{} zolvarat", "misspelled": "{} zolvaxat", "quoted": '{} "zolvarat" he said', "both": "{} zolvarat zolvaxat", "ordinary": "{} grubnit"}
+    many = spark.createDataFrame([(k, t.format(" ".join(say(20)))) for k, t in enumerate(texts.values())] + [(99, "river " * 30_000 + "zolvarat"), (99, "river " * 30_000 + "zolvarat")], "doc_id long, text string")
+    got = [r.score for r in toxicity.score(many, model).orderBy("doc_id").collect()]
+    s = dict(zip(texts, got))
+    assert s["plain"] > 0.7 > s["clean"] and s["clean"] < s["misspelled"] <= s["both"] and s["quoted"] == s["clean"] == s["ordinary"]
+    assert got[-1] == got[-2] > s["clean"]
+
+
 def test_quotation():
     w = 'He said "you idiot" and left'.split()
     assert toxicity.is_quoted(w, 3) and not toxicity.is_quoted("you idiot and more".split(), 1)
