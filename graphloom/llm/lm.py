@@ -1,14 +1,14 @@
 """Bigram language model in a log-frequency Bloom filter.
 
 *Counts.*  Tasks count the hashes of tokens and of token pairs in blocks; sorted runs of (hash, count) go to shards, which
-add them up.  The number of shards is ``spark.sql.shuffle.partitions``, so a shard's share follows the cluster's setting.
-Unigrams are told apart by 64 bits, bigrams by 40 bits and their shard.
+add them up.  Unigrams are told apart by 64 bits, bigrams by 56.  The number of shards follows
+``spark.sql.shuffle.partitions`` and changes no result.
 
-*Filter.*  A bigram of count c >= 2 is quantised to level q(c) = floor(2 log2 c) - 1, and (bigram, 1) ... (bigram, q) are
-put into a Bloom filter of ``BITS_EACH`` bits a member at every size of the corpus (``FILTER_BITS`` at least), cut into
-segments.  Up to ``FILTER_BITS`` they are broadcast; a larger filter stays in shards, and the ids of a block of texts go to
-the shards and their levels come back.  Probing (bigram, 1), (bigram, 2), ... until the first miss gives the level, and
-with it at most the count, but for false positives.
+*Filter.*  A bigram of count c is quantised to level q(c) = floor(2 log2 c), 1 at least, and (bigram, 1) ... (bigram, q) are
+put into a Bloom filter of ``BITS_EACH`` bits a member at every size of the corpus, cut into segments of ``_SEGMENT`` bits.
+Up to ``FILTER_BITS`` it is broadcast; a larger filter stays in groups of segments, none above ``FILTER_BITS``, and the ids
+of a block of texts go to the groups and their levels come back.  The bits are the same either way.  Probing (bigram, 1),
+(bigram, 2), ... until the first miss gives the level, and with it at most the count, but for false positives.
 
 *Probability.*  P(w | v) = L f(v, w) / c(v) + (1 - L) P(w), where f is the count that the filter gives, L = 1 - (bigrams seen
 once) / (bigram tokens) is the Good-Turing mass of bigrams seen before, and P(w) = (1 - U) c(w) / N for known words and U, the share of
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import blocks, hashed_docs, mix, stash, table
 
-HEAD, FILTER_BITS, SEGMENTS, BITS_EACH, PROBES = 1 << 20, 1 << 27, 64, 12, 3
-_SEGMENT = FILTER_BITS // SEGMENTS
-_FLUSH = 4_000_000
+HEAD, FILTER_BITS, BITS_EACH, PROBES = 1 << 20, 1 << 27, 12, 3
+_SEGMENT = 1 << 21
+_FLUSH = 1 << 21
 _PACKED = 1 << 20  # bytes of text in a row that goes through a join
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _LEVELS = mix(np.arange(1, 130, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -52,13 +52,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, offset + np.arange(len(offset))
 
 
-def pair_ids(h: np.ndarray, offset: np.ndarray, shards: int) -> np.ndarray:
-    """Id of (token before, token) for each token; before a text's first token stands END."""
+def pair_ids(h: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """56-bit id of (token before, token) for each token; before a text's first token stands END."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[offset[:-1]] = END
-    x = mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(h))
-    return (x >> np.uint64(24)) * np.uint64(shards) + (x & np.uint64(0xFFFFFF)) % np.uint64(shards)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(h)) >> np.uint64(8)
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +68,12 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.floor(2 * np.log2(counts) + 1e-9).astype(np.int64) - 1
+    return np.maximum(1, np.floor(2 * np.log2(counts) + 1e-9).astype(np.int64))
 
 
 def count_at(levels: np.ndarray) -> np.ndarray:
     """The least count of a level; 0 for level 0."""
-    return np.where(levels > 0, 2.0 ** ((levels + 1) / 2), 0.0)
+    return np.where(levels > 1, 2.0 ** (levels / 2), levels)
 
 
 def _bits(ids: np.ndarray, j: int) -> list[np.ndarray]:
@@ -83,20 +82,19 @@ def _bits(ids: np.ndarray, j: int) -> list[np.ndarray]:
     return [((x >> np.uint64(21 * p)) & np.uint64(_SEGMENT - 1)).astype(np.int64) for p in range(PROBES)]
 
 
-def segment_of(ids: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+def segment_of(ids: np.ndarray, segments: int) -> np.ndarray:
     return (mix(ids) % np.uint64(segments)).astype(np.int64)
 
 
-def probe(filter_bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Level of each id: probes go on until the first miss."""
+def probe(filter_bits: np.ndarray, ids: np.ndarray, segments: int, groups: int = 1) -> np.ndarray:
+    """Level of each id: probes go on until the first miss.  ``filter_bits``: every ``groups``-th segment, with those of the ids."""
     out = np.zeros(len(ids), np.int64)
     alive = np.arange(len(ids))
-    segments = 8 * len(filter_bits) // _SEGMENT
     for j in range(1, len(_LEVELS)):
         if not len(alive):
             break
         some = ids[alive]
-        base = segment_of(some, segments) * _SEGMENT
+        base = segment_of(some, segments) // groups * _SEGMENT
         hit = np.ones(len(some), bool)
         for pos in _bits(some, j):
             at = base + pos
@@ -107,21 +105,21 @@ def probe(filter_bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
     return out.view("<u8").ravel().astype(np.uint64)
 
 
 _RUNS = "shard int, kind int, keys binary, counts binary"
-_COUNTS = "kind int, h long, c long"
+_COUNTS = "kind int, h long, c long, keys binary, levels binary"
 
 
 def ngram_counts(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """kind 0: (hash, count) of every token; kind 1: (id, count) of every pair seen twice or more; kind 2: c pairs seen once."""
+    """kind 0: (hash, count) of every token; kind 1: many pairs in a row, with the sum of their levels as h and the number of those seen once as c."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni: list[np.ndarray] = []
@@ -132,11 +130,11 @@ def ngram_counts(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str
                 keys, counts = add_up(np.concatenate(parts), np.ones(sum(map(len, parts)), np.uint32))
                 counts = counts.astype(np.uint32)
                 parts.clear()
-                shard = ((mix(keys) if kind == 0 else keys) % np.uint64(shards)).astype(np.int64)
+                shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 keys, counts = keys[order], counts[order]
                 ends = np.cumsum(np.bincount(shard, minlength=shards))
-                rows = [(s, kind, keys[a:b].tobytes() if kind == 0 else _pack(keys[a:b] // np.uint64(shards)), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+                rows = [(s, kind, keys[a:b].tobytes() if kind == 0 else _pack(keys[a:b]), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "kind", "keys", "counts"])
 
         for batch in batches:
@@ -144,7 +142,7 @@ def ngram_counts(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str
             for a, b in blocks(texts):
                 h, offset = tokens(texts[a:b])
                 uni.append(h)
-                bi.append(pair_ids(h, offset, shards))
+                bi.append(pair_ids(h, offset))
                 if sum(map(len, uni)) >= _FLUSH:
                     yield from flush()
         if uni:
@@ -156,13 +154,15 @@ def ngram_counts(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str
         def give() -> Iterator[pa.RecordBatch]:
             k, c = add_up(np.concatenate(keys), np.concatenate(counts))
             kind = at[1]
-            if kind == 1:
-                k = k * np.uint64(shards) + np.uint64(at[0])
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([int((c == 1).sum())], pa.int64())], names=["kind", "h", "c"])
-                k, c = k[c > 1], c[c > 1]
             for x in range(0, len(k), 100_000):
-                cut = slice(x, x + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[cut]), kind, np.int32)), pa.array(k[cut].view(np.int64)), pa.array(c[cut].astype(np.int64))], names=["kind", "h", "c"])
+                key, count = k[x : x + 100_000], c[x : x + 100_000]
+                if kind == 0:
+                    none = pa.nulls(len(key), pa.binary())
+                    row = [pa.array(np.zeros(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64)), none, none]
+                else:
+                    q = level(count)
+                    row = [pa.array([1], pa.int32()), pa.array([int(q.sum())], pa.int64()), pa.array([int((count == 1).sum())], pa.int64()), pa.array([_pack(key)], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["kind", "h", "c", "keys", "levels"])
 
         for batch in batches:
             for shard, kind, key, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -183,101 +183,93 @@ def ngram_counts(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str
     return source.mapInArrow(local, _RUNS).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(merge, _COUNTS)
 
 
-def build_filter(pairs: DataFrame, least: int) -> np.ndarray:
-    """The filter over (h, c) with c >= least: ``SEGMENTS`` rows of bits reach the driver, of a fixed size together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            seg, ids, c = (x.to_numpy() for x in batch.columns)
-            ids = ids.view(np.uint64)
-            top = level(c)
-            for s in np.unique(seg):
-                bits = made.setdefault(int(s), np.zeros(_SEGMENT, bool))
-                own, most = ids[seg == s], top[seg == s]
-                for j in range(1, int(most.max()) + 1):
-                    for pos in _bits(own[most >= j], j):
-                        bits[pos] = True
-        for s, bits in made.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    keyed = pairs.filter(F.col("c") >= least).mapInArrow(_with_segment, "segment int, h long, c long").repartition(SEGMENTS, "segment")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keyed.mapInArrow(run, "segment int, bits binary").collect():
-        at = r["segment"] * (_SEGMENT // 8)
-        out[at : at + _SEGMENT // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return out
+_ASKED = "g int, kind int, block long, data binary, levels binary"
 
 
-_ASKED = "g int, kind int, block long, data binary"
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "kind", "block", "data", "levels"])
 
 
-def shard_filters(pairs: DataFrame, shards: int, segments: int) -> DataFrame:
-    """A filter of ``segments`` for the pairs of each shard, as rows of kind 0."""
+def filter_parts(pairs: DataFrame, segments: int, groups: int, tasks: int) -> DataFrame:
+    """The filter over ``pairs`` (keys, levels) as one row of kind 0 for each group g: the segments s with s mod ``groups`` = g."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, top = batch.column(0).to_numpy().view(np.uint64), level(batch.column(1).to_numpy())
-            shard = ids % np.uint64(shards)
-            for g in np.unique(shard):
-                bits = made.setdefault(int(g), np.zeros(segments * _SEGMENT // 8, np.uint8))
-                own, most = ids[shard == g], top[shard == g]
-                for j in range(1, int(most.max()) + 1):
-                    some = own[most >= j]
+            for keys, levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, q = _unpack(keys), np.frombuffer(levels, np.uint8)
+                g = segment_of(ids, segments) % groups
+                order = np.argsort(g, kind="stable")
+                ids, q, g = ids[order], q[order], g[order]
+                starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                yield _rows([(int(g[a]), 0, 0, _pack(ids[a:b]), q[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(g)], strict=True)])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = -1, np.zeros(0, np.uint8)
+        for batch in batches:
+            for g, _, _, keys, levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != at:
+                    if at >= 0:
+                        yield _rows([(at, 0, 0, bits.tobytes(), None)])
+                    at, bits = g, np.zeros(-(-(segments - g) // groups) * _SEGMENT // 8, np.uint8)
+                ids, q = _unpack(keys), np.frombuffer(levels, np.uint8)
+                for j in range(1, int(q.max()) + 1):
+                    some = ids[q >= j]
+                    base = segment_of(some, segments) // groups * _SEGMENT
                     for pos in _bits(some, j):
-                        at = segment_of(some, segments) * _SEGMENT + pos
-                        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        for g, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["g", "kind", "block", "data"])
+                        spot = base + pos
+                        np.bitwise_or.at(bits, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
+        if at >= 0:
+            yield _rows([(at, 0, 0, bits.tobytes(), None)])
+
+    return pairs.select("keys", "levels").mapInArrow(cut, _ASKED).repartition(min(tasks, groups), "g").sortWithinPartitions("g").mapInArrow(fill, _ASKED)
+
 
-    return pairs.repartition(shards, F.col("h") % shards).mapInArrow(run, _ASKED)
+def collected(parts: DataFrame, segments: int, groups: int) -> np.ndarray:
+    """The whole filter from its parts, ``FILTER_BITS`` at most."""
+    out = np.zeros((segments, _SEGMENT // 8), np.uint8)
+    for r in parts.select("g", "data").collect():
+        out[r["g"] :: groups] = np.frombuffer(r["data"], np.uint8).reshape(-1, _SEGMENT // 8)
+    return out.ravel()
 
 
-def _by_shard(ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids by shard, their shards, and the place of each id among them."""
+def _by_group(ids: np.ndarray, segments: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids by group, their groups, and the place of each id among them."""
     distinct, inverse = np.unique(ids, return_inverse=True)
-    g = (distinct % np.uint64(shards)).astype(np.int64)
+    g = segment_of(distinct, segments) % groups
     order = np.argsort(g, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return distinct[order], g[order], place[inverse]
 
 
-def block_levels(texts: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(block, levels): for each row of (block, texts) the levels of its distinct ids, as parts (g, data) of the shards."""
+def block_levels(texts: DataFrame, parts: DataFrame, segments: int, groups: int, tasks: int) -> DataFrame:
+    """(block, levels): for each row of (block, texts) the levels of its distinct ids, as parts (g, data) of the groups."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, g, _ = _by_shard(pair_ids(*tokens(own.as_py()), shards), shards)
-                ends = np.cumsum(np.bincount(g, minlength=shards))
-                rows = [(k, 1, block, _pack(ids[a:b] // np.uint64(shards))) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["g", "kind", "block", "data"])
+                ids, g, _ = _by_group(pair_ids(*tokens(own.as_py())), segments, groups)
+                starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                yield _rows([(int(g[a]), 1, block, _pack(ids[a:b]), None) for a, b in zip(starts, [*starts[1:], len(g)], strict=True)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bits = -1, None
         for batch in batches:
             blocks_, gs, out = [], [], []
-            for g, kind, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, kind, block, data in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if kind == 0:
                     at, bits = g, np.frombuffer(data, np.uint8)
                     continue
-                ids = _unpack(data) * np.uint64(shards) + np.uint64(g)
+                ids = _unpack(data)
                 blocks_.append(block)
                 gs.append(g)
-                out.append((probe(bits, ids) if at == g else np.zeros(len(ids))).astype(np.uint8).tobytes())
+                out.append((probe(bits, ids, segments, groups) if at == g else np.zeros(len(ids))).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(gs, pa.int32()), pa.array(out, pa.binary())], names=["block", "g", "data"])
 
-    asked = texts.mapInArrow(ask, _ASKED).unionByName(filters)
-    parts = asked.repartition(shards, "g").sortWithinPartitions("g", "kind").mapInArrow(answer, "block long, g int, data binary")
-    return parts.groupBy("block").agg(F.collect_list(F.struct("g", "data")).alias("levels"))
-
-
-def _with_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = batch.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(segment_of(h.view(np.uint64)).astype(np.int32)), batch.column(0), batch.column(1)], names=["segment", "h", "c"])
+    asked = texts.mapInArrow(ask, _ASKED).unionByName(parts)
+    answers = asked.repartition(tasks, "g").sortWithinPartitions("g", "kind").mapInArrow(answer, "block long, g int, data binary")
+    return answers.groupBy("block").agg(F.collect_list(F.struct("g", "data")).alias("levels"))
 
 
 def _least_for(by_value: list[tuple[int, int]], most: int) -> int:
@@ -296,20 +288,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict:
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = stash(ngram_counts(docs, shards, id_col, text), "ngrams")
-    uni, pairs = counts.filter("kind = 0").select("h", "c"), counts.filter("kind = 1").select("h", "c")
+    uni, pairs = counts.filter("kind = 0").select("h", "c"), counts.filter("kind = 1").select("h", "c", "keys", "levels")
     n, v, once = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    lone = counts.filter("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    q = F.floor(2 * F.log2("c") + 1e-9)  # counts are binned by level, so these tables have at most 128 rows
+    members, lone = pairs.agg(F.coalesce(F.sum("h"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    q = F.floor(2 * F.log2("c") + 1e-9)  # counts are binned by level, so this table has at most 128 rows
     words = [(r["q"], r["k"]) for r in uni.groupBy(q.alias("q")).agg(F.count("*").alias("k")).orderBy(F.desc("q")).collect()]
-    members = sum(r["k"] * (r["q"] - 1) for r in pairs.groupBy(q.alias("q")).agg(F.count("*").alias("k")).collect())
     as_count = lambda q: int(np.ceil(2 ** (min(q, 120) / 2) - 1e-6))
     least_word = as_count(_least_for(words, HEAD))
-    shared = members * BITS_EACH <= FILTER_BITS
+    segments = max(1, -(-members * BITS_EACH // _SEGMENT))
+    shared = segments * _SEGMENT <= FILTER_BITS
+    groups = min(segments, max(shards, -(-segments * _SEGMENT // FILTER_BITS)))
+    parts = filter_parts(pairs, segments, groups, shards)
     head = uni.filter(F.col("c") >= F.lit(min(least_word, (1 << 63) - 1))).toArrow()  # at most HEAD rows
     h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(h)
-    return {"n": n, "v": v, "unknown": once / n if once else 1 / (n + 1), "bigram": 1 - lone / n if n else 0.0, "shards": shards, "head_h": h[order], "head_c": c[order],
-            "filter": build_filter(pairs, 2) if shared else None, "pairs": pairs, "segments": -(-members * BITS_EACH // (shards * _SEGMENT)), "least_word": least_word, "counts": uni}
+    return {"n": n, "v": v, "unknown": once / n if once else 1 / (n + 1), "bigram": 1 - lone / n if n else 0.0, "shards": shards, "segments": segments, "groups": groups, "head_h": h[order], "head_c": c[order],
+            "filter": collected(parts, segments, groups) if shared else None, "parts": parts, "least_word": least_word, "counts": uni}
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,c:long,v:long,vc:long,g:double>>"
@@ -318,7 +312,7 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doub
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
-    n, v, unknown, lam, shards = (model[k] for k in ("n", "v", "unknown", "bigram", "shards"))
+    n, v, unknown, lam, segments, groups = (model[k] for k in ("n", "v", "unknown", "bigram", "segments", "groups"))
     shared = spark.sparkContext.broadcast((model["head_h"], model["head_c"], model["filter"]))  # HEAD * 16 bytes and FILTER_BITS at most
     whole, cut = n + 0.1 * (v + 1), model["least_word"] > 1  # cut: some words are not in the head
     kinds = (("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("vc", pa.int64()), ("g", pa.float64()))
@@ -336,7 +330,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
         open_ = ~known | (before == 0) if cut else ~known
         g = np.zeros(len(h))
         some = np.flatnonzero((before > 0) | open_)
-        g[some] = count_at(probe(bits, pair_ids(h, offset, shards)[some]) if given is None else given[some])
+        g[some] = count_at(probe(bits, pair_ids(h, offset)[some], segments) if given is None else given[some])
         x = np.where(before > 0, lam * np.minimum(g, before) / np.maximum(before, 1), 0.0)
         back = np.where(before > 0, 1 - lam, 1.0)
         base = np.where(known, np.log10((c + 0.1) / whole), 0.0)
@@ -364,7 +358,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
         for batch in batches:
             for ids, held, texts, levels in zip(*batch.columns, strict=True):
                 h, offset = tokens(texts.as_py())
-                _, _, place = _by_shard(pair_ids(h, offset, shards), shards)
+                _, _, place = _by_group(pair_ids(h, offset), segments, groups)
                 given = np.concatenate([np.frombuffer(p["data"], np.uint8) for p in sorted(levels.as_py(), key=lambda p: p["g"])])
                 yield scored(ids.values, held.values, h, offset, given[place].astype(np.int64))
 
@@ -374,7 +368,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     else:
         packed = source.mapInArrow(pack, "ids array<long>, held array<boolean>, texts array<binary>")
         packed = stash(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")  # blocks are fixed from here on
-        levels = block_levels(packed.select("block", "texts"), shard_filters(model["pairs"], shards, model["segments"]), shards)
+        levels = block_levels(packed.select("block", "texts"), model["parts"], segments, groups, model["shards"])
         made = packed.join(levels, "block").select("ids", "held", "texts", "levels").mapInArrow(unpack, _SCORED)
     rows = stash(made.withColumn("row", F.monotonically_increasing_id()), "scored")  # row is fixed from here on
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.*")

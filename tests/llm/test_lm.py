@@ -58,14 +58,28 @@ def test_model_beats_base_on_held_out_text(spark):
 
 def test_filter_gives_counts(spark):
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 1 << 57, 20_000)
-    counts = np.minimum(2 + rng.geometric(0.3, len(ids)), 400)
-    pairs = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, counts)], "h long, c long")
-    bits = lm.build_filter(pairs, 2)
-    assert (lm.probe(bits, ids.astype(np.uint64)) >= lm.level(counts)).all()
-    assert (lm.count_at(lm.level(counts)) <= counts + 1e-9).all()
-    other = rng.integers(1 << 58, 1 << 59, 20_000).astype(np.uint64)
-    assert (lm.probe(bits, other) > 0).mean() < 0.01
+    ids = rng.integers(0, 1 << 54, 20_000)
+    counts = np.minimum(rng.geometric(0.3, len(ids)), 400)
+    keys, levels = lm._pack(ids.astype(np.uint64)), lm.level(counts).astype(np.uint8).tobytes()
+    pairs = spark.createDataFrame([(bytearray(keys[: 7 * 9_000]), bytearray(levels[:9_000])), (bytearray(keys[7 * 9_000 :]), bytearray(levels[9_000:]))], "keys binary, levels binary")
+    bits = lm.collected(lm.filter_parts(pairs, 3, 2, 4), 3, 2)
+    assert (lm.probe(bits, ids.astype(np.uint64), 3) >= lm.level(counts)).all()
+    assert (lm.count_at(lm.level(counts)) <= counts + 1e-9).all() and (lm.count_at(lm.level(counts[counts < 3])) > counts[counts < 3] - 0.6).all()
+    other = rng.integers(1 << 54, 1 << 55, 20_000).astype(np.uint64)
+    assert (lm.probe(bits, other, 3) > 0).mean() < 0.01
+    one = lm.collected(lm.filter_parts(pairs, 3, 1, 1), 3, 1)
+    assert (one == bits).all()
+
+
+def test_scores_do_not_hang_on_the_number_of_shards(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for shards, most in ((4, lm.FILTER_BITS), (32, lm.FILTER_BITS), (4, 1), (32, 1)):
+        monkeypatch.setattr(lm, "FILTER_BITS", most)
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+        seen.append(sorted((r.doc_id, round(r.score, 6)) for r in lm.score(docs, lm.train(docs)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(x == seen[0] for x in seen)
 
 
 def test_probabilities_sum_to_one_at_most(spark):
@@ -81,7 +95,7 @@ def test_probabilities_sum_to_one_at_most(spark):
 
 
 def brute_scores(rows):
-    """Every history and every pair of count 2 or more is used, with the filter's quantised counts."""
+    """Every history and every pair is used, with the filter's quantised counts."""
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     pairs_of = lambda t: zip([None, *t[:-1]], t, strict=True)
     train = [tokens(t) for i, t in rows if not held(i)]
@@ -89,7 +103,7 @@ def brute_scores(rows):
     n = sum(c.values())
     once, lam = sum(x == 1 for x in c.values()), 1 - sum(x == 1 for x in two.values()) / n
     unknown = once / n if once else 1 / (n + 1)
-    q = lambda x: 2 ** ((math.floor(2 * math.log2(x) + 1e-9) - 1 + 1) / 2) if x > 1 else 0.0
+    q = lambda x: 2 ** (math.floor(2 * math.log2(x) + 1e-9) / 2) if x else 0.0
     word = lambda w: (1 - unknown) * c[w] / n if w in c else unknown
     p = lambda v, w: lam * min(q(two[v, w]), c[v]) / c[v] + (1 - lam) * word(w) if v in c else word(w)
     return sorted((i, round(sum(math.log10(p(v, w)) for v, w in pairs_of(tokens(t))), 6)) for i, t in rows)
