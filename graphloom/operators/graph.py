@@ -130,20 +130,23 @@ def labels_reach(labels: DataFrame, edges: DataFrame, pairs: DataFrame, complete
     return by_label.filter("reaches").unionByName(reaches(edges, by_label.filter("NOT reaches").select("src", "dst")))
 
 
+def witnesses(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, path): a shortest path of existing edges from one of ``sources`` (node), both ends included, for every node reached.
+
+    Of several the one over the smallest node before, which is itself reached so.  Each round carries the paths of its new nodes.
+    """
+    def step(new: DataFrame) -> DataFrame:
+        sent = new.join(edges, new.node == edges.src).select(F.col("dst").alias("node"), "src", "path")
+        return sent.groupBy("node").agg(F.min_by("path", "src").alias("path")).select("node", F.concat("path", F.array("node")).alias("path"))
+
+    start = sources.select("node").distinct().withColumn("path", F.array("node"))
+    return grow(start, step, ["node"]).select("node", "path")
+
+
 def witness(edges: DataFrame, source: int, target: int) -> list[int] | None:
     """A shortest path of existing edges from source to target, both included; None if there is none."""
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(source, None)], "node long, parent long")
-    tree = grow(start, lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node"), F.col("src").alias("parent")), ["node"])
-    tree = cut(tree)
-    path, at = [target], target
-    while at != source:  # one row for each step of the path
-        row = tree.filter(F.col("node") == at).first()
-        if row is None:
-            return None
-        at = row["parent"]
-        path.append(at)
-    return path[::-1]
+    row = witnesses(edges, edges.sparkSession.createDataFrame([(source,)], "node long")).filter(F.col("node") == target).first()
+    return row and list(row["path"])
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

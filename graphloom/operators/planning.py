@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.ordered import numbered
+
 NEVER = (1 << 63) - 1
 
 
@@ -169,7 +171,7 @@ def reservation_value(dist: Column, cost: Column) -> Column:
 def inspection_order(boxes: DataFrame) -> DataFrame:
     """``boxes`` (id, dist, cost) with sigma and ``rank`` by falling sigma, then id."""
     s = boxes.select("id", reservation_value(F.col("dist"), F.col("cost").cast("double")).alias("sigma"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sigma"), "id")))
+    return numbered(s, F.desc("sigma"), "id")
 
 
 def should_stop(best: float, unopened: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.ordered import numbered
+
 
 def last_segment(name):
     return F.element_at(F.split(name, "::"), -1)
@@ -13,11 +15,9 @@ def last_segment(name):
 def assign_ids(protos: DataFrame) -> DataFrame:
     """``protos`` (file_id, local, ...) with dense ``id`` in file order, then in-file order.
 
-    Ids are a file's start plus the local number; only the counts of files go through one sorted window.
+    Numbers within ranges of files, each range's start carried from the ranges before.
     """
-    counts = protos.groupBy("file_id").agg(F.count("*").alias("n"))
-    base = counts.withColumn("base", F.expr("coalesce(sum(n) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).drop("n")
-    return protos.join(base, "file_id").withColumn("id", (F.col("base") + F.col("local")).cast("long")).drop("base")
+    return numbered(protos, "file_id", "local", name="id").withColumn("id", F.col("id") - 1)
 
 
 def _by_qual(symbols: DataFrame) -> DataFrame:

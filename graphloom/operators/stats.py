@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import finish
 from graphloom.functions.numbers import erfc, sigmoid
+from graphloom.plans.ordered import last_and_next, numbered
 
 
 def platt_fit(scored: DataFrame, steps: int = 200, rate: float = 0.1) -> tuple[float, float]:
@@ -73,15 +74,11 @@ def isotonic_fit(scored: DataFrame, tie: str = "id") -> DataFrame:
 def isotonic_predict(scores: DataFrame, steps: DataFrame) -> DataFrame:
     """``scores`` (id, score) with ``p``: linear between step starts, constant outside, 0.5 without steps.
 
-    An as-of join by one union and one window over the sorted union: the last step at or below, the first above.
+    An as-of join of the sorted union, in range partitions: the last step at or below, the first above.
     """
-    s = steps.select(F.lit(None).cast("long").alias("id"), "score", F.struct("score", "p").alias("step"))
-    q = scores.select(F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.lit(None).cast("struct<score:double,p:double>").alias("step"))
-    both = s.unionByName(q)
-    order = Window.orderBy("score", F.col("id").isNotNull())
-    lo = F.last("step", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("step", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"lo": lo, "hi": hi}).filter("id IS NOT NULL")
+    s = steps.select(F.lit(None).cast("long").alias("id"), "score", F.struct("score", "p").alias("step"), F.lit(0).alias("at"))
+    q = scores.select(F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.lit(None).cast("struct<score:double,p:double>").alias("step"), F.lit(1).alias("at"))
+    found = last_and_next(s.unionByName(q), "score", "at", "step").filter("at = 1")
     between = F.col("lo.p") + (F.col("hi.p") - F.col("lo.p")) * (F.col("score") - F.col("lo.score")) / (F.col("hi.score") - F.col("lo.score"))
     return found.select("id", "score", F.when(F.col("lo").isNull() & F.col("hi").isNull(), F.lit(0.5)).when(F.col("lo").isNull(), F.col("hi.p")).when(F.col("hi").isNull() | (F.col("hi.score") == F.col("lo.score")), F.col("lo.p")).otherwise(between).alias("p"))
 
@@ -95,7 +92,7 @@ def ece(scored: DataFrame, bins: int) -> DataFrame:
 
 def conformal_threshold(cal: DataFrame, alpha: float) -> DataFrame:
     """One row (threshold): score of rank min(n, ceil((n + 1)(1 - alpha))); infinity without rows."""
-    ranked = cal.withColumns({"r": F.row_number().over(Window.orderBy("score")), "n": F.count("*").over(Window.partitionBy())})
+    ranked = numbered(cal, "score", name="r", total="n")
     rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-12))
     return ranked.filter(F.col("r") == rank).agg(F.coalesce(F.max("score"), F.lit(float("inf"))).alias("threshold"))
 
@@ -106,15 +103,14 @@ def in_conformal_set(score: Column, threshold: Column) -> Column:
 
 def benjamini_hochberg(pvals: DataFrame, q: float) -> DataFrame:
     """(i, p, rank) of the rejections, ranked by p, then i."""
-    w = Window.orderBy("p", "i")
-    r = pvals.withColumns({"rank": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy())})
+    r = numbered(pvals, "p", "i", total="m")
     last = r.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") * F.lit(q) / F.col("m"), F.col("rank"))), F.lit(0)).alias("k"))
     return r.join(F.broadcast(last), F.col("rank") <= F.col("k")).select("i", "p", "rank")  # one row
 
 
 def e_bh(evals: DataFrame, q: float) -> DataFrame:
     """(i, e, rank) of the rejections, ranked by falling e, then i; nothing for q <= 0."""
-    r = evals.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("e"), "i")), "m": F.count("*").over(Window.partitionBy())})
+    r = numbered(evals, F.desc("e"), "i", total="m")
     last = r.agg(F.coalesce(F.max(F.when((F.lit(q) > 0) & (F.col("e") >= F.col("m") / F.lit(q if q > 0 else 1.0) / F.col("rank")), F.col("rank"))), F.lit(0)).alias("k"))
     return r.join(F.broadcast(last), F.col("rank") <= F.col("k")).select("i", "e", "rank")
 

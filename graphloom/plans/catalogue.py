@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import numbers, spans
+from graphloom.functions import hashing, numbers, spans
 from graphloom.operators import dataflow, graph, planning, report, resolve, review, similarity, stats
+from graphloom.plans.fixpoint import cut
+from graphloom.plans.ordered import numbered
 from graphloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,16 +31,17 @@ def _list(c, sep: str = ","):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
 
 
-# --- call graph: customers call by their urgent orders ---------------------------------------------------------------
+# --- call graph: each customer calls two others, drawn by hashes -------------------------------------------------------
 
-EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority = '1-URGENT')"
+EDGES = "e AS (SELECT DISTINCT c_custkey AS src, ('0x' || substr(md5(k || c_custkey), 1, 15))::BIGINT % (SELECT count(*) FROM customer) AS dst FROM customer, (VALUES ('a'), ('b')) v(k))"
 RICH = "s AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9800)"
 ENTRIES = "s AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"
 
 
 def call_edges(t) -> DataFrame:
     n = t("customer").count()
-    return graph.edges_of(t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919) % n).alias("dst")))
+    calls = t("customer").select(F.col("c_custkey").alias("src"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("k"))
+    return graph.edges_of(calls.select("src", (numbers.portable_hash(F.concat("k", F.col("src").cast("string"))) % n).alias("dst")))
 
 
 def nodes(t, where: str = "true") -> DataFrame:
@@ -85,10 +88,16 @@ def witness_length(t):
     return graph.reachable(call_edges(t), nodes(t).agg(F.min("node").alias("node")))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
 def graph_closure(t):
-    n = t("customer").count()
-    return graph.closure(graph.edges_of(t("orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919) % n).alias("dst"))))
+    return graph.closure(call_edges(t))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT min(c_custkey) AS node FROM customer), r AS (SELECT node, 0 AS level FROM f UNION SELECT e.dst, level + 1 FROM r JOIN e ON r.node = e.src WHERE level < 80),
+l AS (SELECT node, min(level) AS level FROM r GROUP BY node), t AS (SELECT y.node, min(x.node) AS parent FROM l y JOIN e ON e.dst = y.node JOIN l x ON x.node = e.src AND x.level = y.level - 1 GROUP BY y.node),
+p AS (SELECT node, CAST(node AS VARCHAR) AS path FROM f UNION ALL SELECT t.node, p.path || ',' || t.node FROM p JOIN t ON t.parent = p.node) SELECT node, path FROM p""")
+def witness(t):
+    return graph.witnesses(call_edges(t), nodes(t).agg(F.min("node").alias("node"))).select("node", _list("path").alias("path"))
 
 
 _SCC = f"{EDGES}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT c_custkey AS node, least(c_custkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = c_custkey), c_custkey)) AS scc_id FROM customer)"
@@ -114,8 +123,7 @@ def acyclic(t):
 @query(f"""WITH RECURSIVE {EDGES}, {RICH}, p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM s), r AS (SELECT pos, node FROM p UNION SELECT r.pos, e.dst FROM r JOIN e ON r.node = e.src)
 SELECT node, pos // 63 AS chunk, CAST(bit_or(1::BIGINT << (pos % 63)::INT) AS BIGINT) AS bits FROM r GROUP BY node, pos // 63""")
 def bit_parallel_reach(t):
-    pos = F.row_number().over(Window.orderBy("node")) - 1
-    return graph.bit_reach(call_edges(t), nodes(t, "c_acctbal > 9800").withColumn("pos", pos.cast("long")))
+    return graph.bit_reach(call_edges(t), numbered(nodes(t, "c_acctbal > 9800"), "node").select("node", (F.col("rank") - 1).alias("pos")))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {RICH}, d AS (SELECT node AS l, node FROM s UNION SELECT d.l, e.dst FROM d JOIN e ON d.node = e.src), u AS (SELECT node AS l, node FROM s UNION SELECT u.l, e.src FROM u JOIN e ON u.node = e.dst),
@@ -125,6 +133,15 @@ def reach_labels(t):
     return graph.two_hop_labels(call_edges(t), nodes(t, "c_acctbal > 9800")).select("node", _list("l_out").alias("l_out"), _list("l_in").alias("l_in"))
 
 
+@query(SQL["reach_pairs"])
+def labels_reach(t):
+    """The pairs of ``reach_pairs``, by labels where they decide and by search where not."""
+    n, e = t("customer").count(), cut(call_edges(t))
+    rich = nodes(t, "c_acctbal > 9800")
+    labels = cut(graph.two_hop_labels(e, rich))
+    return graph.labels_reach(labels, e, rich.select(F.col("node").alias("src"), ((F.col("node") * 31) % n).alias("dst")))
+
+
 @query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer")
 def alias_classes(t):
     c = t("customer")
@@ -224,16 +241,16 @@ def grep(t):
     return spans.grep(t("documents").withColumnRenamed("doc_id", "file_id"), "Licensed")
 
 
-@query("""SELECT doc_id AS file_id, coalesce(CASE WHEN strlen(text) > 10 THEN try(decode(unhex(substr(hex(encode(text)), 21, 100)))) END, '') AS text FROM documents""")
+@query("""SELECT doc_id AS file_id, coalesce(CASE WHEN strlen(text) > 10 THEN try(decode(unhex(substr(hex(encode(text)), 21)))) END, '') AS text FROM documents""")
 def read_span(t):
     d = t("documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
-    return spans.read_spans(d, d.select("file_id", F.lit(10).alias("start"), F.lit(60).alias("end"))).select("file_id", "text")
+    return spans.read_spans(d, d.select("file_id", F.lit(10).alias("start"), (F.octet_length("content") + 5).alias("end"))).select("file_id", "text")
 
 
-@query("""SELECT doc_id AS id, source = 'src0' OR NOT regexp_matches(substr(text, 1, 20), '\\S') AS ok FROM documents""")
+@query("""SELECT doc_id AS id, source = 'src0' OR NOT regexp_matches(text, '\\S') AS ok FROM documents""")
 def verify_span(t):
     d = t("documents").select(F.col("doc_id").alias("file_id"), "text", "source")
-    f = d.select(F.col("file_id").alias("id"), "file_id", F.lit(0).alias("start"), F.octet_length(F.substring("text", 1, 20)).alias("end"), F.when(F.col("source") == "src0", F.concat(F.substring("text", 1, 20), F.lit(" \n"))).otherwise(F.lit(" ")).alias("snippet"))
+    f = d.select(F.col("file_id").alias("id"), "file_id", F.lit(0).alias("start"), F.octet_length("text").alias("end"), F.when(F.col("source") == "src0", F.concat("text", F.lit(" \n"))).otherwise(F.lit(" ")).alias("snippet"))
     return spans.verify(d.select("file_id", F.encode("text", "UTF-8").alias("content")), f).select("id", "ok")
 
 
@@ -281,7 +298,7 @@ SCHEDULE = "p AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, e
 
 
 def schedule(t) -> DataFrame:
-    return t("events").select((F.row_number().over(Window.orderBy("ts", "event_id")) - 1).cast("long").alias("pos"), F.col("event_type").alias("block"))
+    return numbered(t("events").select("ts", "event_id", "event_type"), "ts", "event_id").select((F.col("rank") - 1).alias("pos"), F.col("event_type").alias("block"))
 
 
 @query(f"WITH {SCHEDULE} SELECT pos, block, coalesce(lead(pos) OVER (PARTITION BY block ORDER BY pos), 9223372036854775807) AS next_use FROM p")
@@ -305,7 +322,7 @@ def inspection_order(t):
     b = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.max("o_totalprice") / 1000, 2).alias("v"), ((1 + F.count_if(F.col("o_orderpriority") == "1-URGENT")) / (F.lit(2.0) + F.count("*"))).alias("p"))
     boxes = b.select("id", F.array(F.struct("v", "p"), F.struct(F.lit(0.0).alias("v"), (1 - F.col("p")).alias("p"))).alias("dist"), F.lit(5.0).alias("cost"))
     s = planning.inspection_order(boxes).select("id", F.round("sigma", 6).alias("sigma"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sigma"), "id")))
+    return numbered(s, F.desc("sigma"), "id")
 
 
 @query("SELECT max(greatest(0, 50 - 5.0 / p)) <= 45 AS stop FROM (SELECT o_custkey, (1 + count(*) FILTER (o_orderpriority = '1-URGENT')) / (2.0 + count(*)) AS p FROM orders GROUP BY o_custkey)")
@@ -382,7 +399,7 @@ def mcnemar(t):
 
 @query()
 def paired_bootstrap(t):
-    rows = t("labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    rows = numbered(t("labels"), "doc_id").select((F.col("rank") - 1).alias("i"), (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
     low, high = stats.paired_bootstrap(rows, 200, 7)
     return rows.sparkSession.createDataFrame([(low, high)], "low double, high double")
 
@@ -417,7 +434,7 @@ SELECT id, round(CASE WHEN lo.score IS NULL THEN hi.p WHEN hi.score IS NULL THEN
 FROM w ASOF LEFT JOIN t lo ON w.score >= lo.score ASOF LEFT JOIN t hi ON w.score < hi.score""")
 def isotonic_predict(t):
     scores = t("events").select(F.col("event_id").alias("id"), (numbers.portable_hash(F.concat(F.lit("e"), F.col("event_id").cast("string"))) / F.lit(float(1 << 60))).alias("score"))
-    return stats.isotonic_predict(scores, stats.isotonic_fit(scored(t))).select("id", F.round("p", 6).alias("p"))
+    return stats.isotonic_predict(scores, stats.isotonic_fit(scored(t)).withColumn("p", F.round("p", 9))).select("id", F.round("p", 6).alias("p"))
 
 
 @query()
@@ -428,11 +445,12 @@ def platt(t):
 
 # --- similarity -------------------------------------------------------------------------------------------------------
 
-_W, _K = 5, 8
+_W, _K = 5, 128
 _LEADS = " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER p" for k in range(1, _W)]])
 SHINGLES = rf"""d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0B\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '') AS ws FROM documents),
 u AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), h AS (SELECT DISTINCT id, s AS shingle FROM (SELECT id, {_LEADS} AS s FROM u WINDOW p AS (PARTITION BY id ORDER BY i)) WHERE s IS NOT NULL UNION SELECT id, unnest(ws) FROM d WHERE len(ws) < {_W})"""
-SIGS = f"{SHINGLES}, g AS (SELECT id, j, min(('0x' || substr(md5(j || ':' || shingle), 1, 15))::BIGINT) AS m FROM h, range({_K}) r(j) GROUP BY id, j)"
+_AB = ", ".join(f"({j}, {a}, {b})" for j, (a, b) in enumerate(hashing.universal(_K)))
+SIGS = f"{SHINGLES}, x AS (SELECT id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {hashing.PRIME} AS x FROM h), g AS (SELECT id, j, min((x * a + b) % {hashing.PRIME}) AS m FROM x, (VALUES {_AB}) r(j, a, b) GROUP BY id, j)"
 
 
 def shingled(t) -> DataFrame:
@@ -440,8 +458,7 @@ def shingled(t) -> DataFrame:
 
 
 def portable(t) -> DataFrame:
-    s = similarity.portable_signatures(shingled(t), _K)
-    return s.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda x: x["m"]).alias("sig"))
+    return similarity.portable_signatures(shingled(t), _K)
 
 
 @query(f"WITH {SIGS} SELECT id, string_agg(m, ',' ORDER BY j) AS sig FROM g GROUP BY id")
@@ -449,22 +466,32 @@ def minhash_signatures(t):
     return portable(t).select("id", _list("sig").alias("sig"))
 
 
-_BANDS = f"{SIGS}, b AS (SELECT id, j // 4 AS band, string_agg(m, ',' ORDER BY j) AS key FROM g GROUP BY id, j // 4)"
+# 20 bands of 5 rows, as the reference's own defaults
+_BANDS = f"{SIGS}, b AS (SELECT id, j // 5 AS band, string_agg(m, ',' ORDER BY j) AS key FROM g WHERE j < 100 GROUP BY id, j // 5)"
+# equal word sequences are one class, so copies are not expanded into pairs
+_SAME = "v AS (SELECT id, min(id) OVER (PARTITION BY ws) AS class FROM d)"
 
 
 @query(f"WITH RECURSIVE {_BANDS}, e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.key = y.key), r AS (SELECT DISTINCT id AS node, id AS seen FROM b UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node AS id, min(seen) AS cluster FROM r GROUP BY node")
 def lsh_clusters(t):
-    return similarity.lsh_clusters(portable(t), bands=2, rows=4)
+    return similarity.lsh_clusters(portable(t), bands=20, rows=5)
+
+
+@query(f"WITH {SHINGLES}, {_SAME} SELECT id, class FROM v")
+def near_classes(t):
+    return similarity.same_words(t("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"""WITH {_BANDS}, c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
+@query(f"""WITH {_BANDS}, {_SAME}, k AS (SELECT * FROM b WHERE id IN (SELECT class FROM v)), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
 s AS (SELECT a, b, count(*) AS k FROM c JOIN h x ON x.id = a JOIN h y ON y.id = b AND y.shingle = x.shingle GROUP BY a, b), m AS (SELECT a, b, sum(CASE WHEN x.m = y.m THEN 1 ELSE 0 END) / {_K} AS est FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b AND x.j = y.j GROUP BY a, b)
 SELECT c.a, c.b, round(est, 6) AS estimate, round(coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 6) AS jaccard FROM c JOIN m ON m.a = c.a AND m.b = c.b LEFT JOIN s ON s.a = c.a AND s.b = c.b JOIN n p ON p.id = c.a JOIN n q ON q.id = c.b""")
 def near_pairs(t):
-    sig = portable(t)
-    sets = shingled(t).groupBy("id").agg(F.collect_set("shingle").alias("set"))
-    both = sig.join(sets, "id")
-    c = similarity.lsh_candidates(sig, bands=2, rows=4)
+    """Pairs between class representatives; ``near_classes`` has the members."""
+    texts = t("documents").select(F.col("doc_id").alias("id"), "text")
+    one = cut(texts.join(similarity.same_words(texts).filter("id = class").select("id"), "id", "left_semi"))
+    shingles = similarity.shingle_texts(one, _W)
+    both = cut(similarity.portable_signatures(shingles, _K).join(shingles.groupBy("id").agg(F.collect_set("shingle").alias("set")), "id"))
+    c = similarity.lsh_candidates(both.select("id", "sig"), bands=20, rows=5)
     x, y = both.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("set").alias("xa")), both.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("set").alias("xb"))
     return c.join(x, "a").join(y, "b").select("a", "b", F.round(similarity.jaccard_estimate(F.col("sa"), F.col("sb")), 6).alias("estimate"), F.round(similarity.jaccard_exact(F.col("xa"), F.col("xb")), 6).alias("jaccard"))
 
@@ -496,11 +523,12 @@ def review_pass2(t):
     return review.pass2(t("conversations").select(F.col("conv_id").alias("candidate"), "turn", content.alias("content"))).select("candidate", "decision", "turn", F.round("llr", 6).alias("llr"))
 
 
-@query("SELECT doc_id AS slice, CAST(5 AS BIGINT) AS start FROM documents WHERE strlen(text) >= 12 AND strlen(text) = length(text) AND lang IN ('en', 'de') AND regexp_matches(substr(text, 6, 7), '^[A-Za-z ]*$')")
+@query("SELECT doc_id AS slice, CAST(0 AS BIGINT) AS start FROM documents WHERE strlen(text) > 0 AND lang IN ('en', 'de')")
 def review_pass1(t):
-    d = t("documents").filter("octet_length(text) >= 12 AND octet_length(text) = length(text)").filter(F.substring("text", 6, 7).rlike("^[A-Za-z ]*$"))
-    cited = F.when(F.col("lang").isin("en", "de"), F.substring("text", 6, 7)).otherwise(F.lit("invented"))
-    finding = F.struct(F.lit("injection").alias("class"), F.lit(5).alias("start_byte"), F.lit(12).alias("end_byte"), cited.alias("cited_snippet"), F.lit(0.5).alias("confidence"))
+    """A finding for each document that cites its whole text by bytes; of other languages the citation is made up."""
+    d = t("documents")
+    cited = F.when(F.col("lang").isin("en", "de"), F.col("text")).otherwise(F.lit("invented"))
+    finding = F.struct(F.lit("injection").alias("class"), F.lit(0).alias("start_byte"), F.octet_length("text").alias("end_byte"), cited.alias("cited_snippet"), F.lit(0.5).alias("confidence"))
     answers = d.select(F.col("doc_id").alias("slice"), F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(finding).alias("findings")))).alias("content"))
     files = d.select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
     return review.pass1(files, d.select(F.col("doc_id").alias("slice"), F.col("doc_id").alias("file_id"), F.lit(0).alias("start")), answers).select("slice", "start")

@@ -12,7 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n, value) by tumbling windows of ``ts``; rows later than the watermark are dropped in a stream."""
+    """(start, event_type, n, value) by tumbling windows of ``ts``; rows later than the watermark are dropped in a stream.
+    A stream's watermark needs a time with a zone, so there a time without one is read in the session's."""
+    if events.isStreaming:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 

@@ -196,6 +196,27 @@ def test_similarity(spark):
     assert tail(d) == tail(random.Random(3).randbytes(300) + d)
 
 
+def slow_cuts(data):
+    out, start = [], 0
+    while start < len(data):
+        left, h, size = len(data) - start, 0, None
+        for i in range(similarity.LEAST, left):
+            h = (h * 2 + int(similarity._GEAR[data[start + i]])) % 2**64
+            if i == similarity.MOST or h % 512 == 0:
+                size = i + (i != similarity.MOST)
+                break
+        out.append((start, size or left))
+        start += size or left
+    return out
+
+
+def test_cut_points_are_those_of_a_rolling_hash():
+    rng = random.Random(5)
+    for n in [*range(12), 63, 64, 65, 70, 72, 73, 80, 4095, 4096, 4097, 9000, 30000]:
+        for d in (rng.randbytes(n), bytes(n), b"ab" * (n // 2)):
+            assert similarity.cut_points(d) == slow_cuts(d)
+
+
 def test_match_levels(spark):
     base = spark.createDataFrame([(0, "c", "p", "s", "y")], "idx long, class string, path string, span string, symbol string")
     f = spark.createDataFrame([(1, "c", "p", "s", "y"), (2, "c", "q", "s", "z"), (3, "c", "q", "t", "y"), (4, "d", "p", "s", "y")], "id long, class string, path string, span string, symbol string")
