@@ -6,8 +6,9 @@ add them up.  Unigrams are told apart by 64 bits, bigrams by 56.  The number of
 
 *Filter.*  A bigram of count c is quantised to level q(c) = floor(2 log2 c), 1 at least, and (bigram, 1) ... (bigram, q) are
 put into a Bloom filter of ``BITS_EACH`` bits a member at every size of the corpus, cut into segments of ``_SEGMENT`` bits.
-Up to ``FILTER_BITS`` it is broadcast; a larger filter stays in groups of segments, none above ``FILTER_BITS``, and the ids
-of a block of texts go to the groups and their levels come back.  The bits are the same either way.  Probing (bigram, 1),
+Up to ``FILTER_BITS`` it is broadcast, and workers map the broadcast's file, so that an executor holds it once.  A larger
+filter stays in groups of segments, none above ``_PART`` bits, and the ids of a block of texts go to the groups and their
+levels come back.  The bits are the same either way.  Probing (bigram, 1),
 (bigram, 2), ... until the first miss gives the level, and with it at most the count, but for false positives.
 
 *Probability.*  P(w | v) = L f(v, w) / c(v) + (1 - L) P(w), where f is the count that the filter gives, L = 1 - (bigrams seen
@@ -28,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import blocks, hashed_docs, mix, stash, table
 
-HEAD, FILTER_BITS, BITS_EACH, PROBES = 1 << 20, 1 << 27, 12, 3
+HEAD, FILTER_BITS, BITS_EACH, PROBES = 1 << 20, 1 << 31, 12, 3
+_PART = 1 << 27  # bits of a group of segments at most
 _SEGMENT = 1 << 21
 _FLUSH = 1 << 21
 _PACKED = 1 << 20  # bytes of text in a row that goes through a join
@@ -297,7 +300,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict:
     least_word = as_count(_least_for(words, HEAD))
     segments = max(1, -(-members * BITS_EACH // _SEGMENT))
     shared = segments * _SEGMENT <= FILTER_BITS
-    groups = min(segments, max(shards, -(-segments * _SEGMENT // FILTER_BITS)))
+    groups = min(segments, max(shards, -(-segments * _SEGMENT // _PART)))
     parts = filter_parts(pairs, segments, groups, shards)
     head = uni.filter(F.col("c") >= F.lit(min(least_word, (1 << 63) - 1))).toArrow()  # at most HEAD rows
     h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
@@ -306,6 +309,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict:
             "filter": collected(parts, segments, groups) if shared else None, "parts": parts, "least_word": least_word, "counts": uni}
 
 
+def mapped(broadcast: Broadcast, size: int) -> np.ndarray:
+    """The ``size`` bytes of a broadcast, mapped from the file that Spark keeps on the executor where there is one."""
+    path = getattr(broadcast, "_path", None)
+    if path:
+        with open(path, "rb") as file:
+            start = file.read(64)
+        for mark in (b"B" + size.to_bytes(4, "little") if size < 1 << 32 else b"\x8e" + size.to_bytes(8, "little"),):
+            if (at := start.find(mark)) >= 0:
+                return np.memmap(path, np.uint8, "r", at + len(mark), (size,))
+    return np.frombuffer(broadcast.value, np.uint8)
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,c:long,v:long,vc:long,g:double>>"
 
 
@@ -313,13 +328,15 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     n, v, unknown, lam, segments, groups = (model[k] for k in ("n", "v", "unknown", "bigram", "segments", "groups"))
-    shared = spark.sparkContext.broadcast((model["head_h"], model["head_c"], model["filter"]))  # HEAD * 16 bytes and FILTER_BITS at most
+    shared = spark.sparkContext.broadcast((model["head_h"], model["head_c"]))  # HEAD * 16 bytes at most
+    filter_ = None if model["filter"] is None else spark.sparkContext.broadcast(model["filter"].tobytes())  # FILTER_BITS at most
+    size = segments * _SEGMENT // 8
     whole, cut = n + 0.1 * (v + 1), model["least_word"] > 1  # cut: some words are not in the head
     kinds = (("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("vc", pa.int64()), ("g", pa.float64()))
 
     def scored(ids: pa.Array, held: pa.Array, h: np.ndarray, offset: np.ndarray, given: np.ndarray | None) -> pa.RecordBatch:
         """given: the level of each token's pair, or None to look only at pairs that can count in the broadcast filter."""
-        head_h, head_c, bits = shared.value
+        head_h, head_c = shared.value
         at = np.minimum(np.searchsorted(head_h, h), max(0, len(head_h) - 1))
         c = np.where(head_h[at] == h, head_c[at], 0) if len(head_h) else np.zeros(len(h), np.int64)
         starts = offset[:-1]
@@ -330,7 +347,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
         open_ = ~known | (before == 0) if cut else ~known
         g = np.zeros(len(h))
         some = np.flatnonzero((before > 0) | open_)
-        g[some] = count_at(probe(bits, pair_ids(h, offset)[some], segments) if given is None else given[some])
+        g[some] = count_at(probe(mapped(filter_, size), pair_ids(h, offset)[some], segments) if given is None else given[some])
         x = np.where(before > 0, lam * np.minimum(g, before) / np.maximum(before, 1), 0.0)
         back = np.where(before > 0, 1 - lam, 1.0)
         base = np.where(known, np.log10((c + 0.1) / whole), 0.0)

@@ -110,13 +110,13 @@ def brute_scores(rows):
 
 
 @pytest.mark.parametrize("head", [1 << 20, 3, 0])
-@pytest.mark.parametrize("bits", [12, 1 << 20])
-def test_no_pair_or_history_is_left_out(spark, head, bits, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 31, 1])
+def test_no_pair_or_history_is_left_out(spark, head, most, monkeypatch):
     rows = [(i, " ".join(["abcdefgh"[(i * k + k * k) % 8] for k in range(1, 25)] + [f"rare{i % 13}", f"after{i % 13}"])) for i in range(60)]
     rows += [(100, "rare1 after1 new a b"), (101, "new new rare2 after2")]
     monkeypatch.setattr(lm, "HEAD", head)
-    monkeypatch.setattr(lm, "BITS_EACH", bits)  # many bits a member: the filter goes over the bound of the broadcast
+    monkeypatch.setattr(lm, "FILTER_BITS", most)  # 1: the filter is over the bound of the broadcast
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = lm.train(docs)
-    assert (model["filter"] is None) == (bits > 12)
+    assert (model["filter"] is None) == (most == 1)
     assert sorted((r.doc_id, round(r.score, 6)) for r in lm.score(docs, model).collect()) == brute_scores(rows)
