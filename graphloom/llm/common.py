@@ -21,16 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a local one, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(got)
     return got
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and archives that this process wrote to the shared folder; for after a result has been written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
+def free_name(df: DataFrame, name: str, prefix: bool = False) -> str:
+    """``name`` with as many underscores before it as needed to be no column of ``df`` (or the start of none)."""
+    while any(c.lower().startswith(name.lower()) if prefix else c.lower() == name.lower() for c in df.columns):
+        name = "_" + name
+    return name
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -42,10 +66,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def unstash(df: DataFrame) -> None:
     """Delete a table that ``stash`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {os.path.dirname(x) for x in df.inputFiles()}:
+        _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small, stash, table
+from graphloom.llm.common import free_name, small, stash, table
 
 WORDS, NUM, DEN = 5, 4, 5  # containment of NUM / DEN
 _MARGIN = 4
@@ -71,8 +71,9 @@ def contained(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_k
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item."""
-    bad = stash(contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    other = free_name(docs, "bad_id")
+    bad = stash(contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(other)).distinct(), "contaminated")
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col(other)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ for each distinct value of the bits.  All of it is Spark expressions on one scan
 aggregates at most ``2 ** len(RULES)`` groups).
 
 Null and empty texts have no words: every measurement is 0, ``too_few_words`` fails.  Repeated rows and null ids are
-measured like all others.  Columns that begin with ``__q_`` are scratch names; the input must not use them.
+measured like all others.  Other columns stay, whatever they are called; ``into`` replaces one of its name.
 Windows are compared by a 64-bit hash of their five words, within one text.
 """
 
@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import free_name, table
 
 #: Bit, name, SQL condition over the measurements under which the rule fails.  Integer arithmetic, so that no engine rounds.
 RULES: list[tuple[int, str, str]] = [
@@ -52,39 +52,40 @@ def _kept_chars(text: Column, chars: str) -> Column:
 
 def ledger(df: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
     """``df`` with the struct column ``into``: ``MEASURES`` and ``fail_bits``, all long."""
-    t = F.col("__q_text")
-    df = df.withColumn("__q_text", F.coalesce(F.col(text), F.lit("")))
+    q = free_name(df, "__q_", prefix=True)
+    t = F.col(f"{q}text")
+    df = df.withColumn(f"{q}text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({
-        "__q_words": F.array_remove(F.split(t, r"[ \x09-\x0D]+"), ""),
-        "__q_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")),
+        f"{q}words": F.array_remove(F.split(t, r"[ \x09-\x0D]+"), ""),
+        f"{q}lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")),
     })
     # each hash is made once, here; what follows works on longs
-    df = df.withColumn("__q_hash", F.transform("__q_words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("__q_windows", F.when(F.size("__q_hash") < _WINDOW, F.array().cast("array<bigint>")).otherwise(F.expr(
-        f"transform(sequence(0, size(__q_hash) - {_WINDOW}), i -> xxhash64({', '.join(f'__q_hash[i + {k}]' for k in range(_WINDOW))}))")))
-    df = df.withColumn("__q_sorted", F.expr(
-        "CASE WHEN size(array_distinct(__q_windows)) = size(__q_windows) THEN CAST(array() AS array<struct<h:bigint,i:int>>)"
-        " ELSE sort_array(transform(__q_windows, (h, i) -> named_struct('h', h, 'i', i))) END"))
-    df = df.withColumn("__q_found", F.expr(
-        "sort_array(transform(filter(__q_sorted, (x, j) -> (j > 0 AND get(__q_sorted, j - 1).h = x.h)"
-        " OR coalesce(get(__q_sorted, j + 1).h = x.h, false)), x -> x.i))"))
-    df = df.withColumn("__q_measures", F.struct(
-        F.size("__q_words").cast("long").alias("n_words"),
-        F.length(F.array_join("__q_words", "")).cast("long").alias("word_chars"),
+    df = df.withColumn(f"{q}hash", F.transform(f"{q}words", lambda w: F.xxhash64(w)))
+    df = df.withColumn(f"{q}windows", F.when(F.size(f"{q}hash") < _WINDOW, F.array().cast("array<bigint>")).otherwise(F.expr(
+        f"transform(sequence(0, size({q}hash) - {_WINDOW}), i -> xxhash64({', '.join(f'{q}hash[i + {k}]' for k in range(_WINDOW))}))")))
+    df = df.withColumn(f"{q}sorted", F.expr(
+        f"CASE WHEN size(array_distinct({q}windows)) = size({q}windows) THEN CAST(array() AS array<struct<h:bigint,i:int>>)"
+        f" ELSE sort_array(transform({q}windows, (h, i) -> named_struct('h', h, 'i', i))) END"))
+    df = df.withColumn(f"{q}found", F.expr(
+        f"sort_array(transform(filter({q}sorted, (x, j) -> (j > 0 AND get({q}sorted, j - 1).h = x.h)"
+        f" OR coalesce(get({q}sorted, j + 1).h = x.h, false)), x -> x.i))"))
+    df = df.withColumn(f"{q}measures", F.struct(
+        F.size(f"{q}words").cast("long").alias("n_words"),
+        F.length(F.array_join(f"{q}words", "")).cast("long").alias("word_chars"),
         _kept_chars(t, "#*$%&|<>").alias("n_symbols"),
-        (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"aggregate(transform(__q_found, (p, j) -> least({_WINDOW}, coalesce(get(__q_found, j + 1) - p, {_WINDOW}))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
-        F.size("__q_lines").cast("long").alias("n_lines"),
+        (F.size(f"{q}lines") - F.size(F.array_distinct(f"{q}lines"))).cast("long").alias("n_dup_lines"),
+        F.expr(f"aggregate(transform({q}found, (p, j) -> least({_WINDOW}, coalesce(get({q}found, j + 1) - p, {_WINDOW}))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
+        F.size(f"{q}lines").cast("long").alias("n_lines"),
         _kept_chars(t, r"\p{Lu}").alias("n_upper"),
         _kept_chars(t, r"\p{Ll}").alias("n_lower"),
     ))
-    qualified = lambda rule: re.sub(r"\b(n_\w+|word_chars)\b", r"__q_measures.\1", rule)
+    qualified = lambda rule: re.sub(r"\b(n_\w+|word_chars)\b", rf"{q}measures.\1", rule)
     bits = " + ".join(f"(CASE WHEN {qualified(rule)} THEN {1 << bit}L ELSE 0L END)" for bit, _, rule in RULES)
-    whole = F.expr(f"named_struct({', '.join(f'{m!r}, __q_measures.{m}' for m in MEASURES)}, 'fail_bits', {bits})")
+    whole = F.expr(f"named_struct({', '.join(f'{m!r}, {q}measures.{m}' for m in MEASURES)}, 'fail_bits', {bits})")
     # a generator of one row: filters on the bits stay above it.  Else the optimizer pushes them down to the scan, and with
     # them a copy of every expression above into every place, also inside lambdas, that names its column
     df = df.withColumn(into, F.explode(F.array(whole)))
-    return df.drop(*[c for c in df.columns if c.startswith("__q_")])
+    return df.drop(*[c for c in df.columns if c.startswith(f"{q}")])
 
 
 def apply_policy(df: DataFrame, policy: tuple[str, int] = CURRENT, ledger_col: str = "ledger", into: str = "kept") -> DataFrame:
@@ -104,8 +105,9 @@ def ablations(ledgers: DataFrame, policy: tuple[str, int] = CURRENT, ledger_col:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that the current policy keeps, with their own columns."""
-    return apply_policy(ledger(docs, into="__ledger"), ledger_col="__ledger", into="__kept").filter("__kept").select(*docs.columns)
+    """Pipeline stage: the rows that the current policy keeps, with their own columns, whatever these are called."""
+    into, kept = free_name(docs, "ledger"), free_name(docs, "kept")
+    return apply_policy(ledger(docs, into=into), ledger_col=into, into=kept).filter(F.col(kept)).select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,19 +126,22 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             found += [(at + m.start(), m[0]) for m in RUN.finditer(word)]
             at += len(word)
     base.sort()
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # greatest end so far
+    covered = lambda start, end: (k := bisect_left(starts, end)) and ends[k - 1] > start
     out = []
     for at, run in found:
         own: list[tuple[float, int, int]] = []
         for start, part, readings in parts(run):
             start += at
             end = start + len(part)
-            if any(s < end and start < e for s, _, e in base) or not (got := examine(part)) or got[1] < ALPHA:
+            if covered(start, end) or not (got := examine(part)) or got[1] < ALPHA:
                 continue
             own.append((min(1.0, readings * got[2]), start, end))
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, none overlaps another
         for p, start, end in sorted(own):
-            if not any(s < end and start < e for s, e in taken):
-                taken.append((start, end))
+            k = bisect_left(taken, (end, end))
+            if not k or taken[k - 1][1] <= start:
+                taken.insert(k, (start, end))
                 out.append((start, end, bisect_right(LENGTHS, end - start) - 1, min(BINS - 1, int(-10 * math.log10(p)))))
     out.sort()
     return base, out

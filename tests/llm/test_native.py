@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, quality
+from graphloom.llm import decontaminate, neardup, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [None, "", " \t\n\x0b\x0c\r", "a", "one two three four five six seven eight nine ten", "x y z w v " * 9, "# * $ % & | < > " * 4, "A\nA\n\nA\r\nB\n \nB", "LOUD WORDS ONLY HERE AND NO OTHER ONES AT ALL",
@@ -97,3 +97,18 @@ def test_sketch_misses_nothing(spark):
     for i, size in n.items():
         k, need = count[i]
         assert size == i and 1 <= need <= k - size // 5 or k == size
+
+
+def test_stages_take_any_columns(spark, sf):
+    """Names that the stages use themselves, nulls, empty and long texts, repeated rows, an empty table."""
+    rows = [(1, None, "x"), (None, "a plain text of enough words to be kept by the rules that there are here, once or twice", "y"), (2, "", "z"), (3, "word " * 40_000, "w")] + [(4, " ".join(f"word{k}" for k in range(60)) + ".", "v")] * 2
+    names = ["__ledger", "__kept", "ledger", "kept", "__q_text", "__id", "bad_id", "bands", "n", "row", "h", "leader"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *[f"concat(source, '{c}') AS `{c}`" for c in names])
+    for df in (docs, docs.limit(0)):
+        for stage in (quality.filter_stage, decontaminate.decontaminate_stage, neardup.near_dedup_stage, secrets.redact_stage):
+            out = stage(spark, df, sf)
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert all(r[c] == r.source + c for c in names)
+    kept = [r.doc_id for r in decontaminate.decontaminate_stage(spark, docs, sf).collect()]
+    assert sorted(map(str, kept)) == ["1", "2", "3", "4", "4", "None"]

@@ -95,6 +95,15 @@ def edits(a, b):
     return row[-1]
 
 
+def test_secrets_of_a_long_text():
+    rng = random.Random(12)
+    token = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    t, began = " ".join(f"token={token()} {token()} x={token()}&y={token()}" for _ in range(10_000)), time.time()
+    base, more = secrets.scan(t)
+    assert len([b for b in base if b[1] == 0]) == 10_000 and len(more) > 25_000 and time.time() - began < 60
+    assert all(a[1] <= b[0] for a, b in zip(more, more[1:]))
+
+
 def test_automaton_is_levenshtein():
     rng = random.Random(6)
     terms = {w: 1.0 + k / 10 for k, w in enumerate(["abc", "abcd", "abacus", "bandana", "cabbages", "dabbling", "babble"])}
