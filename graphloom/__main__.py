@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import dataflow, report, similarity
+from graphloom.plans.ordered import numbered
 from graphloom.sources.files import corpus_kloc, read_corpus
 from graphloom.sources.index import Index
 
@@ -21,10 +22,11 @@ def scan(index: Index) -> DataFrame:
     flows = dataflow.flows(dataflow.taint(program["stmts"], program["args"], program["params"], program["sources"]), program["stmts"])
     at = flows.join(index.symbols, flows.sink_func == index.symbols.id).join(index.files, "file_id")
     body = F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return at.select(
-        F.row_number().over(Window.orderBy("sink_func", "sink_idx")).alias("id"), F.lit("taint-flow").alias("class"), F.lit("1").alias("rubric_version"), F.lit("info").alias("severity"), F.col("rel_path").alias("file"), "start", "end",
+    hashes = similarity.chunk_hashes(at.select(F.col("sink_func").alias("id"), body.alias("content")).distinct()).withColumnRenamed("id", "sink_func")
+    return numbered(at.join(hashes, "sink_func"), "sink_func", "sink_idx", name="number").select(
+        F.col("number").alias("id"), F.lit("taint-flow").alias("class"), F.lit("1").alias("rubric_version"), F.lit("info").alias("severity"), F.col("rel_path").alias("file"), "start", "end",
         (F.size(F.split(F.substring("content", 1, F.col("start").cast("int")).cast("string"), "\n"))).alias("line"), F.concat(F.lit("data of an entry point reaches a sink in "), "qual").alias("message"), body.cast("string").alias("evidence"), F.lit("").alias("rationale"),
-        F.lit(0.0).alias("confidence"), F.lit(1.0).alias("e_value"), F.lit(1.0).alias("p_value"), similarity.fingerprint(F.lit("taint-flow"), F.lit("1"), body).alias("fingerprint"), F.lit(1).alias("sites"))
+        F.lit(0.0).alias("confidence"), F.lit(1.0).alias("e_value"), F.lit(1.0).alias("p_value"), similarity.fingerprint(F.lit("taint-flow"), F.lit("1"), F.col("hashes")).alias("fingerprint"), F.lit(1).alias("sites"))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -51,3 +51,9 @@ def match_level(findings: DataFrame, baseline: DataFrame) -> DataFrame:
         out = out.join(first, key, "left")
     pick = F.coalesce(*[F.when(F.col(f"__m{k}").isNotNull(), F.struct(F.lit(k).alias("level"), F.col(f"__m{k}").alias("match"))) for k in (1, 2, 3)])
     return out.withColumn("__p", pick).select("id", F.col("__p.level").alias("level"), F.col("__p.match").alias("match"))
+
+
+def intern(rows: DataFrame, symbol: str, order: str) -> DataFrame:
+    """(symbol, id): dense ids from 0 in the order of first occurrence by ``order``."""
+    first = rows.groupBy(F.col(symbol).alias("symbol")).agg(F.min(order).alias("first"))
+    return numbered(first, "first", "symbol", name="number").select("symbol", (F.col("number") - 1).alias("id"))

@@ -11,6 +11,7 @@ from graphloom.functions import hashing, numbers, spans
 from graphloom.operators import dataflow, graph, planning, report, resolve, review, similarity, stats
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.ordered import numbered
+from graphloom.sources.index import Index
 from graphloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +228,36 @@ def match_level(t):
     return resolve.match_level(f, f.join(good, "id", "left_semi").withColumnRenamed("id", "idx"))
 
 
+# --- sources: a file for each customer, whose function calls those of the two customers that it calls ------------------
+
+def index_of_customers(t) -> Index:
+    n, c = t("customer").count(), F.col("c_custkey").cast("string")
+    called = [F.concat(F.lit("f"), (numbers.portable_hash(F.concat(F.lit(k), c)) % n).cast("string"), F.lit("();")) for k in "ab"]
+    files = t("customer").select(
+        F.col("c_custkey").cast("int").alias("file_id"), F.concat(F.lit("src/m"), c, F.lit(".rs")).alias("rel_path"), F.lit("").alias("abs_path"),
+        F.concat(F.lit("pub fn f"), c, F.lit("() { "), *called, F.lit(" }\nstruct S"), c, F.lit(";\n")).cast("binary").alias("content"))
+    return Index.of_files(files.sparkSession, files)
+
+
+@query(f"WITH {EDGES} SELECT 'f' || src AS caller, 'f' || dst AS callee FROM e WHERE dst IN (SELECT c_custkey FROM customer)")
+def name_resolution(t):
+    """Files are parsed, symbols merged to ids, calls resolved to edges, and ids named again."""
+    index = index_of_customers(t)
+    name = index.symbols.select("id", "name")
+    return index.edges.join(name.toDF("src", "caller"), "src").join(name.toDF("dst", "callee"), "dst").select("caller", "callee")
+
+
+@query("""WITH s AS (SELECT c_custkey AS file_id, 0 AS local, 'f' || c_custkey AS name, 'm' || c_custkey || '::f' || c_custkey AS qual FROM customer UNION ALL SELECT c_custkey, 1, 'S' || c_custkey, 'm' || c_custkey || '::S' || c_custkey FROM customer)
+SELECT row_number() OVER (ORDER BY file_id, local) - 1 AS id, name, qual FROM s""")
+def symbol_ids(t):
+    return index_of_customers(t).symbols.select("id", "name", "qual")
+
+
+@query("SELECT source AS symbol, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS id FROM documents GROUP BY source")
+def interner(t):
+    return resolve.intern(t("documents"), "source", "doc_id")
+
+
 # --- spans ------------------------------------------------------------------------------------------------------------
 
 @query("""WITH l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
@@ -254,6 +285,25 @@ def verify_span(t):
     return spans.verify(d.select("file_id", F.encode("text", "UTF-8").alias("content")), f).select("id", "ok")
 
 
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents), n AS (SELECT doc_id, text, x, len(x) AS n, strlen(x[1]) + 1 AS s2, strlen(x[1]) + 1 + strlen(x[2]) + 1 AS s3 FROM l),
+b AS (SELECT doc_id, text, x, n, s2, CASE WHEN n >= 2 THEN least(s2 + 5, CASE WHEN n >= 3 THEN s3 ELSE strlen(text) END) END AS byte, least(3, CASE WHEN n >= 2 THEN s2 ELSE strlen(text) END) AS a FROM n)
+SELECT doc_id, byte, a AS span_start, coalesce(byte, a) AS span_end, greatest(coalesce(byte, a) - a, 0) AS span_len, 4 >= a AND 4 < coalesce(byte, a) AS holds,
+ CASE WHEN n >= 2 THEN s2 ELSE 0 END + strlen(substr(regexp_replace(x[least(2, n)], chr(13) || '$', ''), 1, 4)) AS char_byte FROM b""")
+def byte_positions(t):
+    """Line 2, column 5 as a byte, the span from line 1, column 3 to it, and the byte of line 2's fifth character."""
+    d = t("documents").select("doc_id", "text").withColumn("starts", spans.line_starts(F.col("text")))
+    starts, two = F.col("starts"), [F.lit(k).cast("bigint") for k in (1, 3, 2, 5)]
+    d = d.withColumns({"byte": spans.to_byte(starts, F.lit(2).cast("bigint"), F.lit(5).cast("bigint")), "span": spans.to_span(starts, *two), "char_byte": spans.byte_offset(F.col("text"), starts, F.lit(2), F.lit(4))})
+    holds = spans.span_contains(F.col("doc_id"), F.col("span.start"), F.col("span.end"), F.col("doc_id"), F.lit(4))
+    return d.select("doc_id", "byte", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), spans.span_len(F.col("span.start"), F.col("span.end")).alias("span_len"), holds.alias("holds"), "char_byte")
+
+
+@query("SELECT min(doc_id) AS file_id FROM documents WHERE '/' || source || '/x.rs' LIKE '%/src3/x.rs'")
+def find_file(t):
+    files = t("documents").select(F.col("doc_id").alias("file_id"), F.concat("source", F.lit("/x.rs")).alias("rel_path"))
+    return spans.find_file(files, "src3/x.rs").select("file_id")
+
+
 # --- planning: a customer's chain of order priorities -----------------------------------------------------------------
 
 CHAINS = "c AS (SELECT o_custkey AS id, list(CAST(substr(o_orderpriority, 1, 1) AS INT) ORDER BY o_orderkey) AS tokens, count(*) AS cost FROM orders GROUP BY o_custkey)"
@@ -281,7 +331,11 @@ def tree_partition(t):
     return planning.tree_partition(chains(t), 8)
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT c_nationkey AS id, count(*) AS w FROM customer GROUP BY c_nationkey), o AS (SELECT id, w, row_number() OVER (ORDER BY w DESC, id) AS k FROM w),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0]::BIGINT[] AS loads, NULL::BIGINT AS worker, NULL::BIGINT AS id UNION ALL
+ SELECT r.k + 1, [CASE WHEN list_position(loads, list_min(loads)) = 1 THEN loads[1] + w ELSE loads[1] END, CASE WHEN list_position(loads, list_min(loads)) = 2 THEN loads[2] + w ELSE loads[2] END,
+ CASE WHEN list_position(loads, list_min(loads)) = 3 THEN loads[3] + w ELSE loads[3] END, CASE WHEN list_position(loads, list_min(loads)) = 4 THEN loads[4] + w ELSE loads[4] END], list_position(loads, list_min(loads)) - 1, o.id FROM r JOIN o ON o.k = r.k + 1)
+SELECT worker, id FROM r WHERE k > 0""")
 def lpt(t):
     w = t("customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").alias("w"))
     return planning.lpt(w, 4)
@@ -331,7 +385,11 @@ def should_stop(t):
     return planning.should_stop(45.0, p.select(planning.reservation_value(F.array(F.struct(F.lit(50.0).alias("v"), "p")), F.lit(5.0)).alias("sigma")))
 
 
-@query()
+_HALVING = ", ".join(f"a{k + 1} AS (SELECT arm FROM (SELECT arm, avg(value) AS m FROM v WHERE level < {2 ** k} AND arm IN (SELECT arm FROM a{k}) GROUP BY arm) ORDER BY m DESC, arm DESC LIMIT (SELECT CAST(ceil(count(*) / 2.0) AS BIGINT) FROM a{k}))" for k in range(5))
+
+
+@query(f"""WITH v AS (SELECT dense_rank() OVER (ORDER BY event_type) AS arm, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS level, value FROM events), a0 AS (SELECT DISTINCT arm FROM v), {_HALVING}
+SELECT arm FROM (SELECT arm, avg(value) AS m FROM v WHERE arm IN (SELECT arm FROM a5) GROUP BY arm) ORDER BY m DESC, arm DESC LIMIT 1""")
 def successive_halving(t):
     level = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
     arm = F.dense_rank().over(Window.orderBy("event_type")).cast("long")
@@ -357,6 +415,12 @@ def conformal_threshold(t):
     return stats.conformal_threshold(scored(t), 0.1)
 
 
+@query(f"WITH {SCORED}, r AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM x), t AS (SELECT max(score) AS threshold FROM r WHERE r = least(n, ceil((n + 1) * 0.9 - 1e-12))) SELECT id, score <= threshold AS inside FROM x, t")
+def conformal_set(t):
+    s = scored(t)
+    return s.join(F.broadcast(stats.conformal_threshold(s, 0.1))).select("id", stats.in_conformal_set(F.col("score"), F.col("threshold")).alias("inside"))  # one row
+
+
 @query(f"WITH {SCORED}, p AS (SELECT id AS i, pow(score, 3) AS p FROM x), r AS (SELECT i, p, row_number() OVER (ORDER BY p, i) AS rank, count(*) OVER () AS m FROM p) SELECT i, round(p, 9) AS p, rank FROM r WHERE rank <= (SELECT coalesce(max(rank), 0) FROM r WHERE p <= rank * 0.1 / m)")
 def benjamini_hochberg(t):
     return stats.benjamini_hochberg(scored(t).select(F.col("id").alias("i"), F.pow("score", F.lit(3)).alias("p")), 0.1).withColumn("p", F.round("p", 9))
@@ -397,7 +461,14 @@ def mcnemar(t):
     return stats.mcnemar(t("labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))).select("b", "c", F.round("stat", 6).alias("stat"), F.round("p", 6).alias("p"))
 
 
-@query()
+_M64 = "18446744073709551616::UHUGEINT"
+_FINISH = [f"((xor(z, z >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {_M64})::UBIGINT" for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))]
+
+
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality = 1 AS INT) - CAST(toxic = 1 AS INT) AS d FROM labels), n AS (SELECT count(*) AS n FROM l),
+j AS (SELECT j, ((7 + (j + 2)::UHUGEINT * 11400714819323198485::UHUGEINT) % {_M64})::UBIGINT AS z FROM (SELECT unnest(range(200 * (SELECT n FROM n))) AS j)),
+x AS (SELECT j, {_FINISH[0]} AS z FROM j), y AS (SELECT j, {_FINISH[1]} AS z FROM x), u AS (SELECT j // (SELECT n FROM n) AS k, (xor(z, z >> 31) % (SELECT n FROM n))::BIGINT AS i FROM y),
+m AS (SELECT k, sum(d) / (SELECT n FROM n) AS m FROM u JOIN l USING (i) GROUP BY k), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT max(m) FILTER (r = 5) AS low, max(m) FILTER (r = 194) AS high FROM o""")
 def paired_bootstrap(t):
     rows = numbered(t("labels"), "doc_id").select((F.col("rank") - 1).alias("i"), (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
     low, high = stats.paired_bootstrap(rows, 200, 7)
@@ -437,7 +508,11 @@ def isotonic_predict(t):
     return stats.isotonic_predict(scores, stats.isotonic_fit(scored(t)).withColumn("p", F.round("p", 9))).select("id", F.round("p", 6).alias("p"))
 
 
-@query()
+_SIGMOID = "1 / (1 + exp(-(a * score + b)))"
+_STEPS = ", ".join(f"s{k + 1} AS (SELECT s.a - 0.5 * any_value(ga) AS a, s.b - 0.5 * any_value(gb) AS b FROM (SELECT avg(({_SIGMOID} - label) * score) AS ga, avg({_SIGMOID} - label) AS gb FROM x, s{k}) g, s{k} s GROUP BY s.a, s.b)" for k in range(20))
+
+
+@query(f"WITH {SCORED}, s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), {_STEPS} SELECT id, round({_SIGMOID}, 9) AS p FROM x, s20")
 def platt(t):
     a, b = stats.platt_fit(scored(t), 20, 0.5)
     return scored(t).select("id", F.round(stats.platt_predict(F.col("score"), a, b), 9).alias("p"))
@@ -501,14 +576,28 @@ def minhash_64(t):
     return similarity.clusters(similarity.signatures(t("documents").select(F.col("doc_id").alias("id"), "text")), bands=20, rows=5, threshold=0.8)
 
 
-@query()
+_GEAR = ", ".join(f"('{byte:02X}', {int(g) & 511})" for byte, g in enumerate(similarity._GEAR))
+_FIRST = ", ".join(" + ".join(f"coalesce(lag(g, {k}) OVER p, 0) * {1 << k}" if k else "g" for k in range(n)) for n in range(1, 10))
+# z: bytes p whose hash over the last l bytes has nine low zeros; r walks from cut to cut, all documents at once
+CHUNKS = f"""t AS (SELECT doc_id AS id, encode(coalesce(text, '')) AS c FROM documents), y AS (SELECT id, unnest(regexp_extract_all(hex(c), '..')) AS h, generate_subscripts(regexp_extract_all(hex(c), '..'), 1) - 1 AS p FROM t),
+w AS (SELECT id, p, g FROM y JOIN (VALUES {_GEAR}) v(h, g) USING (h)), q AS (SELECT id, p, [{_FIRST}] AS s FROM w WINDOW p AS (PARTITION BY id ORDER BY p)),
+z AS (SELECT * FROM (SELECT id, p, unnest(s) % 512 AS s, generate_subscripts(s, 1) AS l FROM q) WHERE s = 0),
+r AS (SELECT id, 0::BIGINT AS chunk, 0::BIGINT AS o, octet_length(c) AS n, 0::BIGINT AS k FROM t WHERE octet_length(c) > 0
+ UNION ALL SELECT id, any_value(chunk) + 1, any_value(stop), n, any_value(stop) - any_value(o) FROM (SELECT r.id, chunk, o, n, o + CASE WHEN n - o <= 64 THEN n - o ELSE coalesce(min(z.p + 1 - o), least(n - o, 4096)) END AS stop
+  FROM r LEFT JOIN z ON z.id = r.id AND z.p >= o + 64 AND z.p < o + 4096 AND z.l = least(z.p - o - 63, 9) WHERE o < n GROUP BY r.id, chunk, o, n) GROUP BY id, n),
+b AS (SELECT id, chunk - 1 AS chunk, o - k AS "offset", k AS length, sha256(unhex(substr(hex(c), 2 * (o - k) + 1, 2 * k))) AS sha256 FROM r JOIN t USING (id) WHERE chunk > 0)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT * FROM b")
 def content_chunks(t):
     return similarity.chunks(t("documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content")))
 
 
-@query("SELECT doc_id AS id, substr(sha256(encode(lang) || '\\x001\\x00'::BLOB || unhex(sha256(encode(text)))), 1, 32) AS fingerprint FROM documents")
+@query(f"WITH RECURSIVE {CHUNKS}, f AS (SELECT id, string_agg(sha256, '' ORDER BY chunk) AS s FROM b GROUP BY id) SELECT doc_id AS id, substr(sha256(encode(lang) || '\\x001\\x00'::BLOB || unhex(coalesce(s, ''))), 1, 32) AS fingerprint FROM documents LEFT JOIN f ON id = doc_id")
 def fingerprints(t):
-    return t("documents").select(F.col("doc_id").alias("id"), F.lower(F.hex(similarity.fingerprint(F.col("lang"), F.lit("1"), F.encode("text", "UTF-8")))).alias("fingerprint"))
+    d = t("documents")
+    hashes = similarity.chunk_hashes(d.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content")))
+    return hashes.join(d.select(F.col("doc_id").alias("id"), "lang"), "id").select("id", F.lower(F.hex(similarity.fingerprint(F.col("lang"), F.lit("1"), F.col("hashes")))).alias("fingerprint"))
 
 
 # --- review and report ------------------------------------------------------------------------------------------------

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder of this session where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a local folder, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(got)
     return got

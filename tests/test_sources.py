@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import __main__ as cli
 from graphloom.functions import spans
 from graphloom.operators.review import execute_tool
-from graphloom.sources.files import ignored
+from graphloom.sources.files import ignored, parse_ignore, source_files
 from graphloom.sources.index import Index
 from graphloom.sources.rust import entry_reason, module_of, parse, qualified
 
@@ -57,11 +57,28 @@ def test_index(spark, tmp_path):
 
 
 def test_ignore_rules():
-    rules = [("/r", "target/", False), ("/r", "*.gen.rs", False), ("/r/a", "!keep.gen.rs", True)]
-    rules[2] = ("/r/a", "keep.gen.rs", True)
+    rules = [*parse_ignore("/r", "# c\ntarget/\n*.gen.rs\n"), *parse_ignore("/r/a", "!keep.gen.rs\n")]
     assert ignored("/r/target/x.rs", rules) and ignored("/r/a/b.gen.rs", rules) and not ignored("/r/a/keep.gen.rs", rules) and not ignored("/r/src/x.rs", rules)
 
 
+def test_ignore_globs():
+    rules = parse_ignore("/r", "/top.rs\na/*/c.rs\n**/deep/x.rs\nb/**\n[ab]1.rs\nq?.rs\n!b/keep/\n")
+    for path, expected in [("top.rs", True), ("a/top.rs", False), ("a/b/c.rs", True), ("a/b/b/c.rs", False), ("z/deep/x.rs", True), ("deep/x.rs", True), ("b/y.rs", True), ("z/a1.rs", True), ("c1.rs", False), ("qq.rs", True), ("q/.rs", False)]:
+        assert ignored(f"/r/{path}", rules) == expected, path
+
+
+def test_ignore_files_above_and_exclude(spark, tmp_path):
+    (tmp_path / "repo/.git/info").mkdir(parents=True)
+    (tmp_path / "repo/in/src").mkdir(parents=True)
+    (tmp_path / "repo/.git/info/exclude").write_text("excluded.rs\n")
+    (tmp_path / "repo/.gitignore").write_text("in/src/above.rs\n")
+    (tmp_path / "repo/in/.gitignore").write_text("own.rs\n")
+    for name in ("excluded", "above", "own", "stays", "above2"):
+        (tmp_path / f"repo/in/src/{name}.rs").write_text("fn f() {}\n")
+    got = source_files(spark, str(tmp_path / "repo/in")).select("file_id", "rel_path").collect()
+    assert sorted(map(tuple, got)) == [(0, "src/above2.rs"), (1, "src/stays.rs")]
+
+
 def test_line_table(spark):
     text = "fn a() {\n    let x = 1; // c\n    b();\n}\n"
     df = spark.createDataFrame([(0, text)], "file_id int, text string").withColumn("t", spans.line_starts(F.col("text")))
