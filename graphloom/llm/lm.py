@@ -228,12 +228,13 @@ def filter_parts(pairs: DataFrame, segments: int, groups: int, tasks: int) -> Da
     return pairs.select("keys", "levels").mapInArrow(cut, _ASKED).repartition(min(tasks, groups), "g").sortWithinPartitions("g").mapInArrow(fill, _ASKED)
 
 
-def collected(parts: DataFrame, segments: int, groups: int) -> np.ndarray:
-    """The whole filter from its parts, ``FILTER_BITS`` at most."""
-    out = np.zeros((segments, _SEGMENT // 8), np.uint8)
-    for r in parts.select("g", "data").collect():
-        out[r["g"] :: groups] = np.frombuffer(r["data"], np.uint8).reshape(-1, _SEGMENT // 8)
-    return out.ravel()
+def collected(parts: DataFrame, segments: int, groups: int) -> bytearray:
+    """The whole filter from its parts, ``FILTER_BITS`` at most; one partition of it at a time is on its way to the driver."""
+    out = bytearray(segments * _SEGMENT // 8)
+    rows = np.frombuffer(out, np.uint8).reshape(segments, -1)
+    for r in parts.select("g", "data").toLocalIterator():
+        rows[r["g"] :: groups] = np.frombuffer(r["data"], np.uint8).reshape(-1, _SEGMENT // 8)
+    return out
 
 
 def _by_group(ids: np.ndarray, segments: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,9 +316,9 @@ def mapped(broadcast: Broadcast, size: int) -> np.ndarray:
     if path:
         with open(path, "rb") as file:
             start = file.read(64)
-        for mark in (b"B" + size.to_bytes(4, "little") if size < 1 << 32 else b"\x8e" + size.to_bytes(8, "little"),):
-            if (at := start.find(mark)) >= 0:
-                return np.memmap(path, np.uint8, "r", at + len(mark), (size,))
+        mark = b"\x96" + size.to_bytes(8, "little")  # a pickled bytearray: its bytes follow
+        if (at := start.find(mark)) >= 0:
+            return np.memmap(path, np.uint8, "r", at + len(mark), (size,))
     return np.frombuffer(broadcast.value, np.uint8)
 
 
@@ -329,7 +330,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     n, v, unknown, lam, segments, groups = (model[k] for k in ("n", "v", "unknown", "bigram", "segments", "groups"))
     shared = spark.sparkContext.broadcast((model["head_h"], model["head_c"]))  # HEAD * 16 bytes at most
-    filter_ = None if model["filter"] is None else spark.sparkContext.broadcast(model["filter"].tobytes())  # FILTER_BITS at most
+    filter_ = None if model["filter"] is None else spark.sparkContext.broadcast(model["filter"])  # FILTER_BITS at most
     size = segments * _SEGMENT // 8
     whole, cut = n + 0.1 * (v + 1), model["least_word"] > 1  # cut: some words are not in the head
     kinds = (("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("vc", pa.int64()), ("g", pa.float64()))
