@@ -218,7 +218,7 @@ def _star(alive: DataFrame, num: int, den: int) -> DataFrame:
 
 def _open(alive: DataFrame, linked: DataFrame) -> DataFrame:
     """The buckets whose nodes aren't all in one component of ``linked``, with the component ``c`` of each node."""
-    found = stash(components(linked, "leader", "node").select(F.col("node").alias("id"), "component"), "components")
+    found = components(linked, "leader", "node").select(F.col("node").alias("id"), "component")
     own = alive.join(small(found), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     keys = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     return own.join(keys, "key")
@@ -227,7 +227,7 @@ def _open(alive: DataFrame, linked: DataFrame) -> DataFrame:
 def _routes(mixed: DataFrame, most: int) -> DataFrame:
     """(id, c, g, part): the groups that each node goes to, so that any two nodes of different components in one bucket meet."""
     first = mixed.groupBy("key").agg(F.min("id").alias("first"))
-    cells = stash(components(mixed.join(first, "key").select("first", "id"), "first", "id").select(F.col("node").alias("id"), F.col("component").alias("cell")), "cells")
+    cells = components(mixed.join(first, "key").select("first", "id"), "first", "id").select(F.col("node").alias("id"), F.col("component").alias("cell"))
     # the smallest node of a cell may stand only as its component
     nodes = mixed.select("id", "n", "c").distinct().join(small(cells), "id", "left").withColumn("cell", F.coalesce("cell", "id"))
     nodes = stash(nodes.withColumn("w", F.col("n") + 1000), "nodes")

@@ -94,6 +94,7 @@ def test_near_duplicates_bucket_needs_rounds(spark):
 
 
 def test_near_duplicates_in_split_cells(spark, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.components.ONE_TASK", 0)
     monkeypatch.setattr(neardup.links, "__defaults__", (*neardup.links.__defaults__[:-1], 9000))
     rows = fixture_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
@@ -118,7 +119,9 @@ def test_sketch_fills_and_estimates():
     assert abs(agree - 0.6) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.components.ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 101: 100, 102: 100} or got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
