@@ -1,7 +1,7 @@
 """Toxicity: a lexicon learned from labels, misspellings by Levenshtein automata over its trie, and context windows.
 
 *Lexicon.*  From labelled training rows: all words, and stems of three to eight letters, that far more toxic than clean rows
-hold (smoothed log odds of their row frequencies, and a likelihood ratio that chance alone exceeds once in 10,000 terms).
+hold (smoothed log odds of their row frequencies, and a likelihood ratio that chance alone exceeds once in 370,000 terms).
 *Automaton.*  All words of the lexicon that may have an edit form a trie; a state is the set of
 (trie node, edits so far), the product of the trie with the Levenshtein automata of all its words, and its transitions are
 made when they are first needed and kept.  A word that can reach no term dies after a few letters.  Words of 4 to 7
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
-TRAIN_ROWS, LEAST_TOXIC, LEAST_ODDS, LEAST_RATIO, CONTEXT, PREDICT = 8_000, 4, 2.5, 15.1, 8, 0.7
+TRAIN_ROWS, LEAST_TOXIC, LEAST_ODDS, LEAST_RATIO, CONTEXT, PREDICT = 8_000, 4, 2.5, 22.0, 8, 0.7
 STEMS = range(3, 9)
 _OPEN, _CLOSE, _EVEN = "“«‘„‹", "”»’“›", "\"'"
 _STRIP = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + _OPEN + _CLOSE + "…–—¿¡"
