@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,40 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+# --- memory of Python workers, which Spark uses again for the tasks of any operator ---------------------------------
+
+_KEPT: dict[str, dict] = {}
+#: Bytes of text that a task turns into Python objects at a time.
+_SLICE = 1 << 19
+
+
+def kept(operator: str) -> dict:
+    """For the start of a task: what this worker keeps between the tasks of ``operator``.  What it kept for others is dropped, and free memory goes back to the system."""
+    for name, table in _KEPT.items():
+        if name != operator:
+            table.clear()
+    for p in _POWERS:
+        p.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+    return _KEPT.setdefault(operator, {})
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices without a copy, of at most ``most`` bytes in ``column`` (text or binary) or one row; Spark's batches have up to 10,000 rows of any length."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 # --- vectorised hashing of words: a polynomial modulo 2**64 over bytes, then a finaliser -----------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +131,11 @@ class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
         self.up = self.down = np.ones(0, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:

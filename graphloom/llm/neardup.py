@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, hashed_docs, mix, small, stash, table, unstash, window_hash
+from graphloom.llm.common import blocks, hashed_docs, kept, mix, sliced, small, stash, table, unstash, window_hash
 from graphloom.llm.components import components
 
 T, ROWS, SHINGLE, NUM, DEN = 300, 6, 2, 80, 100
@@ -95,7 +95,8 @@ def sketched(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """For each row: id, set size, two fingerprints of the set, and its band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kept("near_dedup")
+        for batch in sliced(batches):
             n, f, keys = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), size):
                 n.append(len(s))
@@ -115,12 +116,11 @@ def sets_of(pool: DataFrame, size: int) -> DataFrame:
     """(id, n, members, coordinates) of ``pool``: (id, text); a coordinate is the low byte of the sketch's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                sets = list(shingle_sets(texts[a:b], size))
-                low = [sketch(s).astype(np.uint8).tobytes() if len(s) else b"\0" * T for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "members", "coordinates"])
+        kept("near_dedup")
+        for batch in sliced(batches):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), size))
+            low = [sketch(s).astype(np.uint8).tobytes() if len(s) else b"\0" * T for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "members", "coordinates"])
 
     return pool.mapInArrow(run, _SETS)
 
@@ -133,8 +133,9 @@ def compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     routed = sets.join(small(stash(member.unionByName(lead), "routes")), "id").select("leader", "salt", "member", F.col("id").alias("node"), "members")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_dedup")
         at, leads = None, []
-        for batch in batches:
+        for batch in sliced(batches, 4):
             out = []
             for leader, salt, member, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (leader, salt):
@@ -186,6 +187,7 @@ def compare_groups(sets: DataFrame, routes: DataFrame, num: int, den: int) -> Da
     together = sets.join(small(routes), "id").select("g", "part", "id", "c", "members", "coordinates").repartition("g").sortWithinPartitions("g")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_dedup")
         at, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def compare_groups(sets: DataFrame, routes: DataFrame, num: int, den: int) -> Da
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["leader", "node"])
 
-        for batch in batches:
+        for batch in sliced(batches, 4):
             for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != at:
                     yield from close()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import kept, sliced, table
 
 WINDOW, END_ID, KEPT_WORDS = 2048, 1, 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -113,14 +113,13 @@ def _merger(path: str):
     return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The process's encoder for a file; it outlives the tasks of a worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The process's encoder for a file; it outlives the tasks of a worker, until one of another operator begins."""
+    encoders = kept("packing")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+        kept("packing")  # what reading the file took goes back
+    return encoders[path]
 
 
 class SumOfSquares:
@@ -206,12 +205,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
         out: list[tuple] = []
 
         def items() -> Iterator[tuple]:
-            for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 256):
-                    for key, ids in zip(keys[at : at + 256], words.encode(texts[at : at + 256]), strict=True):
-                        ids += end
-                        yield (key, ids, len(ids) // 4), len(ids) // 4
+            for some in sliced(batches):
+                for key, ids in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
+                    ids += end
+                    yield (key, ids, len(ids) // 4), len(ids) // 4
 
         def flush() -> pa.RecordBatch:
             arrays = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, table, unstash
+from graphloom.llm.common import kept, sliced, stash, table, unstash
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -155,7 +155,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "stop", "cls", "bin")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kept("secrets")
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, more = scan(text)
@@ -215,9 +216,11 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = stash(find(docs), "secrets")
     least = thresholds(found)
     unstash(found)
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kept("secrets")
+        for batch in sliced(batches, text_at):
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = []
             for text in cols["text"].to_pylist():
