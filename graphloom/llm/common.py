@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -88,9 +89,11 @@ _SLICE = 1 << 19
 
 def kept(operator: str) -> dict:
     """For the start of a task: what this worker keeps between the tasks of ``operator``.  What it kept for others is dropped, and free memory goes back to the system."""
-    for name, table in _KEPT.items():
-        if name != operator:
-            table.clear()
+    others = [t for name, t in _KEPT.items() if name != operator and t]
+    for t in others:
+        t.clear()
+    if others:
+        gc.collect()  # what was kept may hold itself, as an encoder and its tables do
     for p in _POWERS:
         p.clear()
     pa.default_memory_pool().release_unused()

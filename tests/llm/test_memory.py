@@ -1,6 +1,8 @@
 """What a Python worker holds while and after it runs the tasks of the pipeline's operators."""
 
+import gc
 import tracemalloc
+import weakref
 
 import pyarrow as pa
 import pytest
@@ -53,6 +55,16 @@ def test_other_operators_drop_the_encoder(spark):
     assert packing.encoder(packing.default_tokenizer()) is not again
 
 
+def test_a_dropped_encoder_is_freed_at_once(spark):
+    gone = weakref.ref(packing.encoder(packing.default_tokenizer()))
+    gc.disable()
+    try:
+        list(neardup.sketched(Docs(), "doc_id", "text", 5)(iter([batch([b"a b c d e f"], pa.binary())])))
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_slices_have_every_row_once():
     from graphloom.llm.common import sliced
 
