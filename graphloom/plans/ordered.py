@@ -42,7 +42,8 @@ def last_and_next(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     ends = parts_of(parted, F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("__last"), F.min_by(value, F.when(F.col(value).isNotNull(), place)).alias("__first"))
     every = Window.orderBy(PART)
     carried = ends.select(PART, F.last("__last", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("__lo"), F.first("__first", ignorenulls=True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("__hi"))
-    inside = Window.partitionBy(PART).orderBy(key, at)
-    lo = F.coalesce(F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("__lo"))
-    hi = F.coalesce(F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__hi"))
+    # both frames grow from the start of an order: one that shrinks towards the end is read anew for every row
+    last = F.last(value, ignorenulls=True)
+    lo = F.coalesce(last.over(Window.partitionBy(PART).orderBy(key, at).rowsBetween(Window.unboundedPreceding, 0)), F.col("__lo"))
+    hi = F.coalesce(last.over(Window.partitionBy(PART).orderBy(F.desc(key), F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)), F.col("__hi"))
     return parted.join(F.broadcast(carried), PART).withColumns({"lo": lo, "hi": hi}).drop(PART, "__lo", "__hi")

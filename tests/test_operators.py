@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -268,3 +269,17 @@ def test_streams(spark, tmp_path):
 
 def test_catalogue_has_names():
     assert len(catalogue.QUERIES) > 50 and catalogue.SQL.keys() <= catalogue.QUERIES.keys()
+
+
+def test_prediction_looks_at_a_row_once(spark):
+    """400,000 scores in one range, with all steps at its ends: frames that are read anew for every row would take an hour."""
+    steps = spark.createDataFrame([(-1.0, 0.0), (2.0, 3.0)], "score double, p double")
+    scores = spark.range(400_000).select("id", (F.col("id") / 400_000).alias("score"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        began = time.monotonic()
+        worst = stats.isotonic_predict(scores, steps).agg(F.max(F.abs(F.col("p") - F.col("score") - 1)).alias("d")).first().d
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert worst < 1e-9 and time.monotonic() - began < 120
