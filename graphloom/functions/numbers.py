@@ -28,6 +28,12 @@ def nearest_rank(ordered: Column, q: float) -> Column:
     return F.try_element_at(ordered, (F.floor((F.size(ordered) - 1) * F.lit(q) + 0.5) + 1).cast("int"))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double rounded as SQL engines do that scale it, halves away from zero: 0.145 becomes 0.14, as 0.145 * 100 is below 14.5 (``round`` of Spark goes by the shortest decimal and gives 0.15)."""
+    scale = float(10**digits)
+    return F.round((F.col(x) if isinstance(x, str) else x) * scale, 0) / scale
+
+
 def portable_hash(text: Column) -> Column:
     """A 60-bit hash that other SQL engines compute alike: the first 15 hex digits of the MD5."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.numbers import erfc, nearest_rank
+from graphloom.functions.numbers import erfc, nearest_rank, rounded
 from graphloom.operators import dataflow, graph, planning, report, resolve, review, similarity, stats
 from graphloom.plans import catalogue
 from graphloom.streaming import watch
@@ -271,6 +271,38 @@ def test_catalogue_has_names():
     assert len(catalogue.QUERIES) > 50 and catalogue.SQL.keys() <= catalogue.QUERIES.keys()
 
 
+def test_rounding_of_halves_is_that_of_sql(spark):
+    import duckdb
+
+    got = [tuple(r) for r in spark.range(-20000, 20001).select((F.col("id") / 1000).alias("x")).select("x", rounded("x", 2)).collect()]
+    want = dict(duckdb.sql("SELECT x, round(x, 2) FROM (SELECT k / 1000 AS x FROM range(-20000, 20001) t(k))").fetchall())
+    assert len(got) == len(want) and all(want[x] == y for x, y in got)
+
+
+def compared(spark, folder, name):
+    """Rows of a query and of its SQL over the parquet files of a folder, sorted."""
+    import duckdb
+
+    db = duckdb.connect()
+    for p in folder.iterdir():
+        db.execute(f"CREATE VIEW {p.stem} AS FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
+    return sorted(map(tuple, catalogue.QUERIES[name](spark, str(folder)).collect())), sorted(db.execute(catalogue.SQL[name]).fetchall())
+
+
+def test_inspection_order_of_prices_between_two_cents(spark, tmp_path):
+    spark.createDataFrame([(k, k, 145.0 + 140 * k, "1-URGENT") for k in range(1, 60)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got, want = compared(spark, tmp_path, "inspection_order")
+    assert got == want
+
+
+def test_reports_of_confidences_between_two_hundredths(spark, tmp_path):
+    spark.createDataFrame([(k, "en", "s", k * 200) for k in range(1, 200)], "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(1, 200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("report_markdown", "report_terminal"):
+        got, want = compared(spark, tmp_path, name)
+        assert got == want
+
+
 def test_prediction_looks_at_a_row_once(spark):
     """400,000 scores in one range, with all steps at its ends: frames that are read anew for every row would take an hour."""
     steps = spark.createDataFrame([(-1.0, 0.0), (2.0, 3.0)], "score double, p double")
