@@ -303,6 +303,12 @@ def test_reports_of_confidences_between_two_hundredths(spark, tmp_path):
         assert got == want
 
 
+def test_an_empty_text_is_cited_by_no_finding(spark, tmp_path):
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(["", " ", "a", None])], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = compared(spark, tmp_path, "review_pass1")
+    assert got == want == [(1, 0), (2, 0)]
+
+
 def test_prediction_looks_at_a_row_once(spark):
     """400,000 scores in one range, with all steps at its ends: frames that are read anew for every row would take an hour."""
     steps = spark.createDataFrame([(-1.0, 0.0), (2.0, 3.0)], "score double, p double")
