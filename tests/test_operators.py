@@ -321,3 +321,62 @@ def test_prediction_looks_at_a_row_once(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert worst < 1e-9 and time.monotonic() - began < 120
+
+
+def reached(pairs, start):
+    """All that each of ``start`` reaches by at least one edge."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, []).append(b)
+    out = {}
+    for s in start:
+        todo, found = list(to.get(s, ())), set()
+        while todo:
+            x = todo.pop()
+            if x not in found:
+                found.add(x)
+                todo += to.get(x, ())
+        out[s] = found
+    return out
+
+
+def test_searches_over_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    rng = random.Random(1)
+    n = 40
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(54)})
+    e, seen = edges(spark, pairs), reached(pairs, range(n))
+    scc = {x: min([x, *(y for y in seen[x] if x in seen[y])]) for x in range(n)}
+    assert {r.node: r.scc_id for r in graph.strong_components(ids(spark, range(n)), e).collect()} == scc
+    assert sorted(map(tuple, graph.closure(e).collect())) == sorted((a, b) for a in range(n) for b in seen[a])
+    marks = [3, 4, 5, 6, 7, n + 1]
+    assert sorted(map(tuple, graph.reach_sets(e, ids(spark, marks)).collect())) == sorted((a, b) for a in marks for b in seen.get(a, set()) | {a})
+    labels = {r.node: (r.l_out, r.l_in) for r in graph.two_hop_labels(e, ids(spark, marks)).collect()}
+    out = lambda x: [m for m in marks if m == x or m in seen.get(x, ())]
+    into = lambda x: [m for m in marks if m == x or x in seen.get(m, ())]
+    assert labels == {x: (out(x), into(x)) for x in [*range(n), n + 1] if out(x) or into(x)}
+    asked = [(rng.randrange(n), rng.randrange(n)) for _ in range(40)] + [(n + 1, n + 1), (n + 2, 0)]
+    want = sorted((a, b, a == b or b in seen.get(a, ())) for a, b in asked)
+    p = spark.createDataFrame(asked, "src long, dst long")
+    assert sorted(map(tuple, graph.reaches(e, p).collect())) == want == sorted(map(tuple, graph.reaches_by_labels(e, ids(spark, marks), p).collect()))
+
+
+def test_components_in_rounds_are_those_of_one_task(spark, monkeypatch):
+    pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (4, 4), (5, 0), (6, 6)]
+    in_one = sorted(map(tuple, graph.strong_components(ids(spark, range(8)), edges(spark, pairs)).collect()))
+    assert in_one == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)]
+    monkeypatch.setattr(graph, "ONE_TASK", -1)
+    assert sorted(map(tuple, graph.strong_components(ids(spark, range(8)), edges(spark, pairs)).collect())) == in_one
+
+
+def test_long_cycles_take_no_rounds(spark):
+    """One component of 3,000 nodes, which a search crosses in 3,000 rounds."""
+    n = 3000
+    e, began = edges(spark, [(k, (k + 1) % n) for k in range(n)]), time.monotonic()
+    assert graph.strong_components(ids(spark, range(n)), e).filter("scc_id = 0").count() == n
+    assert graph.reach_sets(e, ids(spark, [5, 6])).distinct().count() == 2 * n
+    assert graph.reaches(e, edges(spark, [(7, 6)])).first().reaches and graph.reaches_by_labels(e, ids(spark, [1]), edges(spark, [(7, 6)])).first().reaches
+    assert graph.bit_reach(e, spark.createDataFrame([(4, 0), (5, 64)], "node long, pos long")).filter("chunk = 0 AND bits = 1 OR chunk = 1 AND bits = 2").count() == 2 * n
+    assert graph.two_hop_labels(e, ids(spark, [9])).filter("l_out[0] = 9 AND l_in[0] = 9").count() == n
+    assert graph.closure(e).count() == n * n
+    assert time.monotonic() - began < 240
