@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.numbers import erfc, nearest_rank, rounded
+from graphloom.functions import hashing
+from graphloom.functions.numbers import erfc, nearest_rank, portable_hash, rounded
 from graphloom.operators import dataflow, graph, planning, report, resolve, review, similarity, stats
 from graphloom.plans import catalogue
 from graphloom.streaming import watch
@@ -380,3 +381,30 @@ def test_long_cycles_take_no_rounds(spark):
     assert graph.two_hop_labels(e, ids(spark, [9])).filter("l_out[0] = 9 AND l_in[0] = 9").count() == n
     assert graph.closure(e).count() == n * n
     assert time.monotonic() - began < 240
+
+
+def counted(spark, df):
+    """``df``, and a counter of its rows each time they are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_signatures_are_made_once_and_right(spark):
+    texts = ["a b c d e f g", "a b", "", None, "x\x1cy z\x85a\u00a0b c", "one  two\nthree four five six one two three four five six"] + ["w " * 9 + str(k // 3) for k in range(30)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    x = similarity.shingle_texts(t, 5).select("id", (portable_hash(F.col("shingle")) % hashing.PRIME).alias("x")).collect()
+    want = {i: [min((a * r.x + b) % hashing.PRIME for r in x if r.id == i) for a, b in hashing.universal(16)] for i in {r.id for r in x}}
+    sigs = similarity.portable_signatures(t, 5, 16)
+    assert {r.id: r.sig for r in sigs.collect()} == want
+    h = hashing.shingle_hashes(texts[5], 5)
+    assert list(hashing.minhash_values(h, 16)) == [min(hashing.splitmix(h ^ s)) for s in hashing.splitmix(np.arange(16, dtype=np.uint64))]
+    for f in (lambda d: similarity.lsh_clusters(d, bands=4, rows=4), lambda d: similarity.clusters(d, bands=4, rows=4, threshold=0.8)):
+        once, seen = counted(spark, sigs)
+        got = {r.id: r.cluster for r in f(once).collect()}
+        assert seen.value == len(want) and all(got[k] == got[k - (k - 6) % 3] for k in range(6, 36))
