@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.fixpoint import cut
 from graphloom.plans.ordered import numbered
 
 NEVER = (1 << 63) - 1
@@ -186,6 +187,7 @@ def successive_halving(scores: DataFrame, eta: int, resource: int = 1) -> DataFr
     """
     if eta <= 1:
         raise ValueError("eta must be above 1")
+    scores = cut(scores)  # read once a round
     levels, left = (scores.agg(F.max("level") + 1, F.countDistinct("arm")).first())
     arms, r = scores.select("arm").distinct(), resource
     while left > 1 and r <= levels:

@@ -32,6 +32,15 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank", total: str
     return out.drop(PART, before, "__all")
 
 
+def numbered_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``df`` with its row number from 1 among the rows of its group, in the order; a group of any size goes over as many tasks as it needs."""
+    parted = ranged(df, group, *order)
+    counts = parted.groupBy(PART, group).agg(F.count("*").alias("__n"))
+    start = counts.select(F.col(PART).alias("__p"), F.col(group).alias("__g"), F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = parted.join(start, (F.col(PART) == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    return out.withColumn(name, (F.col("__before") + F.row_number().over(Window.partitionBy(PART, group).orderBy(*order))).cast("long")).drop(PART, "__p", "__g", "__before")
+
+
 def last_and_next(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """``rows`` with ``lo`` and ``hi``: the value that isn't null of the last row with a key at or below, and of the first row with one above or equal behind it.
 

@@ -13,6 +13,7 @@ from graphloom.functions import hashing
 from graphloom.functions.numbers import erfc, nearest_rank, portable_hash, rounded
 from graphloom.operators import dataflow, graph, planning, report, resolve, review, similarity, stats
 from graphloom.plans import catalogue
+from graphloom.plans.ordered import numbered_within
 from graphloom.streaming import watch
 
 
@@ -408,3 +409,9 @@ def test_signatures_are_made_once_and_right(spark):
         once, seen = counted(spark, sigs)
         got = {r.id: r.cluster for r in f(once).collect()}
         assert seen.value == len(want) and all(got[k] == got[k - (k - 6) % 3] for k in range(6, 36))
+
+
+def test_numbers_within_one_large_group(spark):
+    rows = [("a" if k % 10 else "b", k * 7919 % 1000, k) for k in range(1000)]
+    got = sorted(map(tuple, numbered_within(spark.createDataFrame(rows, "g string, o long, k long").repartition(5), "g", "o", "k").select("g", "o", "k", "rank").collect()))
+    assert got == [(g, o, k, n) for x in "ab" for n, (g, o, k) in enumerate(sorted(r for r in rows if r[0] == x), 1)]
