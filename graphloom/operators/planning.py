@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,39 +69,62 @@ def tree_partition(chains: DataFrame, workers: int) -> DataFrame:
 
     What a cut leaves goes up as its carried cost; a subtree that carries no cost is dropped.  ``chains``: (id, tokens, cost).
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["cost"].sum())
-        if not total:
-            return pd.DataFrame(columns=["part", "id"])
-        target = math.ceil(total / workers)
-        root: dict = {"kids": {}, "own": None}
-        for i, tokens, cost in zip(pdf["id"], pdf["tokens"], pdf["cost"], strict=True):
-            node = root
-            for t in tokens:
-                node = node["kids"].setdefault(int(t), {"kids": {}, "own": None})
-            node["own"] = (int(i), int(cost))
+    if not workers:
+        return chains.sparkSession.createDataFrame([], "part long, id long")
+    chains = cut(chains.select("id", "tokens", "cost"))
+    total = int(chains.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0])
+    if not total:
+        return chains.sparkSession.createDataFrame([], "part long, id long")
+    target = -(-total // workers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[int]] = []
+        path: list[int] = []
+        nodes: list[tuple[list[int], int]] = [([], 0)]  # what the root and each node of the path hold and carry
 
-        def up(node: dict) -> tuple[list[int], int]:
-            held, carried = ([node["own"][0]], node["own"][1]) if node["own"] else ([], 0)
-            for kid in node["kids"].values():
-                ids, cost = up(kid)
+        def up(depth: int) -> None:
+            while len(path) > depth:
+                path.pop()
+                ids, cost = nodes.pop()
                 if cost > 0:
-                    held, carried = held + ids, carried + cost
+                    held, carried = nodes[-1]
+                    if held:
+                        held.extend(ids)
+                    else:
+                        held = ids
+                    carried += cost
                     if carried >= target:
                         parts.append(held)
                         held, carried = [], 0
-            return held, carried
-
-        left, _ = up(root)
-        if left:
-            parts.append(left)
+                    nodes[-1] = (held, carried)
+
+        for batch in batches:
+            for i, cost, ranks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                same = 0
+                while same < len(path) and same < len(ranks) and path[same] == ranks[same]:
+                    same += 1
+                up(same)
+                for r in ranks[same:]:
+                    path.append(r)
+                    nodes.append(([], 0))
+                nodes[-1] = ([i], cost)
+        up(0)
+        if nodes[0][0]:
+            parts.append(nodes[0][0])
         while len(parts) > workers:
             parts.sort(key=len)
             parts = [parts[0] + parts[1], *parts[2:]]
-        return pd.DataFrame([(k, i) for k, p in enumerate(parts) for i in p], columns=["part", "id"])
-
-    return _one_group(chains.select("id", "tokens", "cost").orderBy("id"), run, "part long, id long") if workers else chains.sparkSession.createDataFrame([], "part long, id long")
+        for k, p in enumerate(parts):
+            for at in range(0, len(p), 100_000):
+                some = p[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["part", "id"])
+
+    # the trie is walked as a stream: depth first, a node before its children and these by the first id below them
+    ranks = trie_order(chains.select("id", F.col("id").alias("pos"), "tokens"))
+    root = chains.filter(F.size("tokens") == 0).agg(F.max("id").alias("id")).dropna().select("id", F.array().cast("array<bigint>").alias("rank_path"))
+    rows = ranks.select("id", F.col("rank_path").cast("array<bigint>").alias("rank_path")).unionByName(root).join(chains.select("id", "cost"), "id")
+    one = rows.select(F.col("id").cast("long"), F.col("cost").cast("long"), "rank_path").repartition(1).sortWithinPartitions("rank_path")
+    return one.mapInArrow(run, "part long, id long")
 
 
 def budgeted_coverage(items: DataFrame, weights: DataFrame, budget: int) -> DataFrame:

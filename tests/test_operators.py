@@ -415,3 +415,41 @@ def test_numbers_within_one_large_group(spark):
     rows = [("a" if k % 10 else "b", k * 7919 % 1000, k) for k in range(1000)]
     got = sorted(map(tuple, numbered_within(spark.createDataFrame(rows, "g string, o long, k long").repartition(5), "g", "o", "k").select("g", "o", "k", "rank").collect()))
     assert got == [(g, o, k, n) for x in "ab" for n, (g, o, k) in enumerate(sorted(r for r in rows if r[0] == x), 1)]
+
+
+def parts_by_recursion(chains, workers):
+    target = math.ceil(sum(c for _, _, c in chains) / workers)
+    root, parts = ({}, []), []
+    for i, tokens, cost in chains:
+        node = root
+        for x in tokens:
+            node = node[0].setdefault(x, ({}, []))
+        node[1][:] = [(i, cost)]
+
+    def up(node):
+        held, carried = ([node[1][0][0]], node[1][0][1]) if node[1] else ([], 0)
+        for kid in node[0].values():
+            ids, cost = up(kid)
+            if cost > 0:
+                held, carried = held + ids, carried + cost
+                if carried >= target:
+                    parts.append(held)
+                    held, carried = [], 0
+        return held, carried
+
+    if left := up(root)[0]:
+        parts.append(left)
+    while len(parts) > workers:
+        parts.sort(key=len)
+        parts[:2] = [parts[0] + parts[1]]
+    return sorted((k, i) for k, p in enumerate(parts) for i in p)
+
+
+def test_tree_partition_of_a_stream(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(3) for _ in range(rng.randrange(6))], rng.randrange(4)) for i in range(200)]
+    schema = "id long, tokens array<int>, cost long"
+    for workers in (1, 3, 8):
+        assert sorted(map(tuple, planning.tree_partition(spark.createDataFrame(rows, schema).repartition(3), workers).collect())) == parts_by_recursion(rows, workers)
+    deep = spark.createDataFrame([(0, [1] * 1500, 1), (1, [1] * 1499 + [2], 1)], schema)
+    assert {r.id for r in planning.tree_partition(deep, 1).collect()} == {0, 1}
