@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import connected_components
-from graphloom.plans.fixpoint import grow
+from graphloom.plans.fixpoint import cut, grow
 
 
 def solve_forward(cfg: DataFrame, gen: DataFrame, kill: DataFrame | None = None) -> DataFrame:
@@ -14,6 +14,8 @@ def solve_forward(cfg: DataFrame, gen: DataFrame, kill: DataFrame | None = None)
 
     cfg: (u, v); gen and kill: (node, fact).
     """
+    cfg, kill = cut(cfg), cut(kill) if kill is not None else None  # each round reads them
+
     def step(new: DataFrame) -> DataFrame:
         moved = new.join(cfg, new.node == cfg.u).select(F.col("v").alias("node"), "fact")
         return moved.join(kill, ["node", "fact"], "left_anti") if kill is not None else moved
@@ -43,12 +45,15 @@ def taint(stmts: DataFrame, args: DataFrame, params: DataFrame, sources: DataFra
     Calls pass arguments to parameters of the same position and let variables by, without killing dst; a return variable
     that is tainted at the exit taints dst after every call of the function.
     """
-    s = stmts.select("func", "idx", "op", "dst", F.col("src").alias("from_var"), "callee")
+    stmts = cut(stmts.select("func", "idx", "op", "dst", "src", "callee"))  # each round reads what follows
+    s = stmts.withColumnRenamed("src", "from_var")
     last = stmts.groupBy("func").agg((F.max("idx") + 1).alias("exit"))
     back = return_vars(stmts).join(last, "func").select(F.col("func").alias("callee"), "exit", F.col("var").alias("ret"))
     sites = s.filter("op = 'call' AND dst IS NOT NULL").join(back, "callee").select("callee", "exit", "ret", F.col("func").alias("to_func"), (F.col("idx") + 1).alias("to_idx"), F.col("dst").alias("to_var"))
+    sites = cut(sites)
     calls = s.filter("op = 'call'").select("func", "idx", "callee").join(args.withColumnRenamed("var", "arg"), ["func", "idx"]).join(
         params.select(F.col("func").alias("callee"), "pos", F.col("var").alias("param")), ["callee", "pos"]).select("func", "idx", "arg", "callee", "param")
+    calls = cut(calls)
     keep = ["src_func", "src_var"]
 
     def step(new: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def lower_calls(symbols: DataFrame, edges: DataFrame, sink_names: list[str]) ->
 
 def tainted_nodes(edges: DataFrame, entries: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """(node, level) that taint reaches along calls from ``entries``; a sanitizer (node) is reached but passes nothing on."""
-    passing = edges.join(sanitizers.select(F.col("node").alias("src")), "src", "left_anti")
+    passing = cut(edges.join(sanitizers.select(F.col("node").alias("src")), "src", "left_anti"))
     return grow(entries.select("node"), lambda new: new.join(passing, new.node == passing.src).select(F.col("dst").alias("node")), ["node"])
 
 

@@ -417,6 +417,19 @@ def test_numbers_within_one_large_group(spark):
     assert got == [(g, o, k, n) for x in "ab" for n, (g, o, k) in enumerate(sorted(r for r in rows if r[0] == x), 1)]
 
 
+def test_rounds_do_not_make_their_inputs_anew(spark):
+    e, seen = counted(spark, edges(spark, [(0, 1), (1, 2), (2, 3), (3, 4)]))
+    assert graph.reachable(e, ids(spark, [0])).count() == 5 and seen.value == 4
+    e, seen = counted(spark, edges(spark, [(0, 1), (1, 2), (2, 3), (3, 4)]))
+    assert graph.witnesses(e, ids(spark, [0])).count() == 5 and seen.value == 4
+    cfg, seen = counted(spark, spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u long, v long"))
+    assert dataflow.solve_forward(cfg, spark.createDataFrame([(0, 0)], "node long, fact long")).count() == 4 and seen.value == 3
+    stmts, seen = counted(spark, spark.createDataFrame([(0, k, "assign", k + 1, k, None) for k in range(3)] + [(0, 3, "sink", None, 3, None)], STMTS))
+    none = "func long, idx long, pos long, var long"
+    facts = dataflow.taint(stmts, spark.createDataFrame([], none), spark.createDataFrame([(0, 0, 0)], "func long, pos long, var long"), spark.createDataFrame([(0, 0)], "func long, var long"))
+    assert facts.filter("idx = 3 AND var = 3").count() == 1 and seen.value == 4
+
+
 def parts_by_recursion(chains, workers):
     target = math.ceil(sum(c for _, _, c in chains) / workers)
     root, parts = ({}, []), []
